@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.llm import chat, packing, pii, quality, simhash, token_counts, toxicity
+from meritlake.llm import chat, packing, pii, quality, simhash, suffixes, token_counts, toxicity
 from meritlake.llm.tokens import vocabulary
 
 
@@ -42,6 +42,10 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = F.lit(chat.CLOSE + chat.OPEN + "assistant ok")
