@@ -17,7 +17,7 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 #: The forest: rows it is fitted on at most (those with the least hash of doc_id), trees, rows of a tree.
 FIT_ROWS, TREES, TREE_ROWS = 8192, 100, 256
 #: A lost clean document weighs as much as so many missed ones when the threshold is set; a share for a share.
-CLEAN_WEIGHT = 20.0
+CLEAN_WEIGHT = 10.0
 #: The verdict where no labelled row says more.
 DEFAULT_THRESHOLD = 0.75
 
@@ -62,7 +62,7 @@ def statistics(text: str) -> tuple[int, int, int, int, int, list[float]]:
     shouted = sum(map(str.isupper, text.split())) / some
     marks = (text.count("!") + text.count("?")) / some
     # what any page may repeat is no sign
-    features = [min(symbols / some, 2.0), max(dups / max(full, 1) - 0.3, 0.0), max(repeats / some - 0.2, 0.0), chars / some, shouted, min(marks, 3.0), min(len(set(words)) / some, 0.5) if n >= MIN_WORDS else 0.5]
+    features = [min(symbols / some, 0.4), max(dups / max(full, 1) - 0.3, 0.0), max(repeats / some - 0.2, 0.0), chars / some, shouted, min(marks, 3.0), min(len(set(words)) / some, 0.5) if n >= MIN_WORDS else 0.5]
     return n, chars, symbols, dups, repeats, features
 
 
