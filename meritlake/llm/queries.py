@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.llm import chat, latent, packing, pii, quality, simhash, suffixes, token_counts, toxicity
+from meritlake.llm import chat, compact_windows, latent, packing, pii, quality, simhash, suffixes, token_counts, toxicity
 from meritlake.llm.tokens import vocabulary
 
 
@@ -63,6 +63,10 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return latent.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query by name."""
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
