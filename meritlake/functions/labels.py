@@ -85,8 +85,8 @@ def metro_terms() -> tuple[dict[str, str], dict[str, str]]:
 def metros_in(text: Column) -> Column:
     """Areas that a text names, each once: first by words for areas, then by counties, as whole words."""
     words, counties = metro_terms()
-    hits = []
+    hits, low = [], F.lower(text)
     for term, slug in [*words.items(), *counties.items()]:
         safe = term.replace(".", r"\.")
-        hits.append(F.when(F.rlike(text, F.lit(rf"(?i)(?<![a-z'\-]){safe}(?![a-z'\-])")), slug))
+        hits.append(F.when(low.contains(term) & F.rlike(low, F.lit(rf"(?<![a-z'\-]){safe}(?![a-z'\-])")), slug))
     return F.array_distinct(F.array_compact(F.array(*hits)))
