@@ -56,16 +56,16 @@ def root_paths(tree: DataFrame) -> DataFrame:
         .select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score")
     )
     step = written(step, "paths")
-    while not step.where("up is not null").isEmpty():
+    done, going = step.where("up is null"), step.where("up is not null")
+    while not going.isEmpty():
         above = step.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
-        step = written(
-            step.join(above, ["conv_id", "up"], "left").select(
-                "conv_id", "node", F.col("up2").alias("up"),
-                F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"),
-                (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"),
-            ),
+        longer = written(
+            going.join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), (F.col("score") + F.col("score2")).alias("score")),
             "paths",
-        )
+        )
+        done, going = done.unionByName(longer.where("up is null")), longer.where("up is not null")
+        step = done.unionByName(going)
+    step = done
     inner = nodes.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
     return step.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "path", "score")
 
