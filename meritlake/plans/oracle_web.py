@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from meritlake.functions import vocabulary as v
 from meritlake.functions.labels import metro_terms
-from meritlake.plans.oracle import BUDGETS, OPPORTUNITIES, ORACLE, TRACKINGS
+from meritlake.plans.oracle import BUDGETS, MESSAGES, OPPORTUNITIES, ORACLE, PROFILES, SCORED, TRACKINGS
 
 
 def _q(s: str) -> str:
@@ -119,4 +119,16 @@ select p_partkey as id, cast(case p_partkey % 5 when 0 then floor(p_retailprice)
   case p_partkey % 5 when 2 then '1998-06-02' when 4 then null else cast(due as varchar) end as due, p_type || '/' || p_brand || '/' || p_name as parts,
   case p_partkey % 6 when 0 then 'pharmacy' when 1 then 'medicine' when 2 then 'medicine' when 3 then 'any' when 4 then 'any' else 'nursing' end as discipline from t""",
     "B01_quota_stream": ORACLE["B01_search_quota"],
+    "M05_profile_strength": f"""with {PROFILES}, p as (select d.*, c_mktsegment, c_custkey % 7 as seven, c_custkey % 6 as six, c_custkey % 5 as five, c_custkey % 4 as four, c_custkey % 3 as three, c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD') as a,
+    c_custkey % 5 <= 2 as b, c_custkey % 7 <= 4 as c from d_profiles d join customer on c_custkey = user_id),
+s as (select *, cast(floor((a::int + b::int + c::int + (gpa is not null)::int + (state is not null)::int + (six <= 3)::int + (sai is not null)::int + (three = 0 or four = 0)::int) / 8.0 * 100 + 0.5) as int) as strength from p)
+select user_id, strength, case when strength >= 100 then '' else array_to_string(list_filter([case when not a and three <> 0 then 'Field of Study' end, case when not b and four <> 0 then 'Target Credential' end, case when not c then 'Clinical Phase' end,
+  case when gpa is null then 'GPA' end, case when state is null then 'State of Residence' end, case when six > 3 then 'Metro Area' end, case when sai is null then 'SAI Score' end, case when three <> 0 and four <> 0 then 'Demographics' end,
+  case when four > 1 then 'Affiliations' end], lambda x: x is not null), ', ') end as gaps from s""",
+    "S10_unrendered_pages": """select trim(url) as url, true as ok, max_by(length(trim(html)) < 600 or ((contains(html, 'track(') or contains(html, '__NEXT_DATA__')) and not contains(lower(html), '<h1')), page_id) as unrendered from pages group by 1""",
+    "O07_upcoming": f"""with {OPPORTUNITIES}, {TRACKINGS} select user_id, cast(rank as int) as rank, opp_id, cast(deadline - date '1998-06-01' as int) as days from (
+  select user_id, opp_id, deadline, row_number() over (partition by user_id order by deadline, opp_id) as rank from d_tracks join d_opps using (opp_id) where not is_dismissed and deadline >= date '1998-06-01') where rank <= 10""",
+    "F09_keyword_feed": f"""with {PROFILES}, {OPPORTUNITIES}, {TRACKINGS}, {SCORED.format(on="not coalesce(is_archived, false) join d_tracks t on t.user_id = u.user_id and t.opp_id = o.opp_id")},
+m as (select opp_id, score, title, provider, {MESSAGES} as messages from scored)
+select opp_id, count(*) as n, max(score) as best from m where contains(lower(title), 'ring') or contains(lower(provider), 'ring') or contains(lower(messages), 'ring') group by opp_id""",
 }

@@ -6,13 +6,14 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meritlake.functions import labels, parsing, vocabulary, web
+from meritlake.functions import display, labels, parsing, vocabulary, web
 from meritlake.operators import crawling, events, exports, lifecycle, matching, planning, tiering, writing
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
+from meritlake.sources import readers
 from meritlake.streaming import quota as stream
 
 FEED = 10
@@ -287,3 +288,33 @@ QUERIES |= {
     "T03_parsed_fields": parsed_fields,
     "B01_quota_stream": quota_stream,
 }
+
+
+def profile_strength(spark: SparkSession, sf: str) -> DataFrame:
+    """How complete each profile is, and what it lacks."""
+    return d.profiles(spark, sf).select("user_id", display.profile_strength().alias("strength"), F.array_join(display.profile_gaps(), ", ").alias("gaps"))
+
+
+def unrendered_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's address as fetched, and whether its html needs a browser."""
+    pages = d.table(spark, sf, "pages")
+    got = readers.fetched(pages.select(parsing.clean(F.col("url")).alias("url")).distinct(), pages)
+    return got.select("url", "ok", readers.unrendered(F.col("html"), ["track(", "__NEXT_DATA__"]).alias("unrendered"))
+
+
+def upcoming(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's ten next deadlines among trackings that are not dismissed."""
+    rows = _tracked(spark, sf).where(~F.col("is_dismissed") & (F.col("deadline") >= F.lit(AS_OF).cast("date")))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("deadline", "opp_id"))
+    return rows.withColumn("rank", rank).where("rank <= 10").select("user_id", "rank", "opp_id", F.datediff("deadline", F.lit(AS_OF).cast("date")).alias("days"))
+
+
+def keyword_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """tracked pairs whose title, provider or messages hold a word, in any case; percent signs and underscores are themselves."""
+    pairs = d.trackings(spark, sf).select("user_id", "opp_id").join(matching.ready_profiles(d.profiles(spark, sf)), "user_id").join(matching.ready_opportunities(d.opportunities(spark, sf)), "opp_id")
+    scored = matching.with_messages(matching.with_scores(pairs))
+    hit = F.lower("title").contains("ring") | F.lower("provider").contains("ring") | F.exists("messages", lambda m: F.lower(m).contains("ring"))
+    return scored.where(hit).groupBy("opp_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+
+
+QUERIES |= {"M05_profile_strength": profile_strength, "S10_unrendered_pages": unrendered_pages, "O07_upcoming": upcoming, "F09_keyword_feed": keyword_feed}
