@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritlake.functions import display, labels, parsing, vocabulary, web
-from meritlake.operators import crawling, events, exports, lifecycle, matching, planning, tiering, writing
+from meritlake.operators import crawling, events, exports, ingesting, lifecycle, matching, planning, tiering, writing
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
 from meritlake.sources import readers
@@ -318,3 +318,24 @@ def keyword_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"M05_profile_strength": profile_strength, "S10_unrendered_pages": unrendered_pages, "O07_upcoming": upcoming, "F09_keyword_feed": keyword_feed}
+
+
+def page_extracts(spark: SparkSession, sf: str) -> DataFrame:
+    """What each page says, with its source's data; every second page has a source."""
+    pages = d.table(spark, sf, "pages")
+    sources = pages.where("page_id % 2 = 0").select(
+        F.trim("url").alias("url"), F.concat(F.lit("Source "), F.col("page_id")).alias("name"), F.lit("registry").alias("category"), F.when(F.col("page_id") % 4 == 0, "nursing").otherwise("any").alias("primary_discipline"),
+        F.array(F.lit("RN")).alias("target_credentials"), F.when(F.col("page_id") % 6 == 0, "oh").alias("state_restriction"),
+    )
+    found = ingesting.completed(ingesting.extracted(pages, AS_OF), sources)
+    joined = lambda c: F.array_join(c, ",").alias(c)
+    return found.select("page_id", "title", "provider", "category", F.col("award").cast("double").alias("award"), F.col("deadline").cast("string").alias("deadline"), joined("disciplines"), joined("credentials"), joined("metros"), "state", "complete")
+
+
+def latest_turn(spark: SparkSession, sf: str) -> DataFrame:
+    """The last conversation turn of each conversation."""
+    last = ingesting.latest(d.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), "conv_id", "turn")
+    return last.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
+
+
+QUERIES |= {"C09_page_extracts": page_extracts, "O06_latest_turn": latest_turn}
