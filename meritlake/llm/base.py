@@ -43,6 +43,16 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def least_hashed(df: DataFrame, n: int, *cols: str) -> DataFrame:
+    """A sample: the n rows with the least hash of cols among those of a share of the hashes that holds about 2 n rows.
+
+    The share keeps what each task sends for the choice in proportion to n, not to n times the tasks.
+    """
+    share = max(1, df.count() // (2 * n))
+    h = F.xxhash64(*cols)
+    return df.where(F.pmod(h, F.lit(share)) == 0).orderBy(h, *cols).limit(n)
+
+
 def by_batch(
     df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:

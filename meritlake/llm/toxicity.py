@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meritlake.llm.base import by_batch, texts_of, written
+from meritlake.llm.base import by_batch, least_hashed, texts_of, written
 
 #: Labelled examples of each class, at most: the bounded sample on which terms are chosen and which the index holds.
 TOXIC_EXAMPLES, CLEAN_EXAMPLES = 1500, 3000
@@ -149,13 +149,10 @@ class BlockMaxIndex:
 def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps (vote, share of toxic): isotonic regression by pooling neighbours."""
     pools: list[list[float]] = []
-    for v, y, w in sorted(zip(votes.tolist(), toxic.tolist(), weight.tolist(), strict=True)):
-        if pools and pools[-1][0] == v:
-            pools[-1][1] += w * y
-            pools[-1][2] += w
-        else:
-            pools.append([v, w * y, w])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+    each, of = np.unique(votes, return_inverse=True)  # equal votes are one step, whatever their labels
+    for v, y, w in zip(each.tolist(), np.bincount(of, weight * toxic).tolist(), np.bincount(of, weight).tolist(), strict=True):
+        pools.append([v, y, w])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] > pools[-1][1] * pools[-2][2]:
             v1, y1, w1 = pools.pop()
             pools[-1] = [v1, pools[-1][1] + y1, pools[-1][2] + w1]
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
@@ -174,7 +171,7 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7, toxic_examples:
     spark = docs.sparkSession
     train = written(train_rows(labels), "train")
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of = lambda y, n: train.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    of = lambda y, n: least_hashed(train.where(F.col("toxic") == y), n, "doc_id")
     sample = written(of(1, toxic_examples).unionByName(of(0, clean_examples)), "sample")  # bounded: toxic_examples + clean_examples rows
     chosen = choose_terms(texts_of(docs).join(F.broadcast(sample), "doc_id"))
     counts = written(term_counts(docs, chosen), "terms")

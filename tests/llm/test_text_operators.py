@@ -213,6 +213,11 @@ def test_block_max_index_is_exact():
         np.testing.assert_allclose(cosines, [x for x in exact[: toxicity.NEIGHBOURS] if x > 1e-9], atol=1e-5)
 
 
+def test_calibration_takes_equal_votes_together():
+    at, share = toxicity.calibrate(np.array([0.0, 0.0, 0.4, 0.6, 0.5, 1.0, 1.0, 1.0]), np.array([0, 0, 0, 1, 1, 0, 1, 1.0]), np.array([1, 1, 1, 1, 1, 5, 10, 10.0]))
+    assert at.tolist() == [0.0, 0.4, 1.0] and share[:2].tolist() == [0.0, 0.0] and abs(share[2] - 22 / 27) < 1e-9
+
+
 def test_toxicity_on_held_out_rows(spark, odd, none):
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefgh", k=5)) for _ in range(300)]
