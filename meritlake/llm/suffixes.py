@@ -84,19 +84,46 @@ def phrases(text: bytes, length: int, gram: int, step: int = SLICE) -> list[tupl
     return out
 
 
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans that overlap or touch, as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def counted(found: list[tuple[int, int, int, int, int]], length: int) -> list[tuple]:
+    """(core, phrase, first, last, times, own): a text's phrases, each once, so that text that repeats itself makes few rows.
+
+    own has the spans that all places of a phrase cover, if there are several; first and last are those of one.
+    """
+    places: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for core, phrase, first, last, _ in found:
+        places.setdefault((core, phrase), []).append((first, last))
+    out = []
+    for (core, phrase), at in places.items():
+        own = [{"s": s, "e": e} for s, e in merged([(a, b + length) for a, b in at])] if len(at) > 1 else None
+        out.append((core, phrase, *at[0], len(at), own))
+    return out
+
+
 def _parse(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """All phrases of all texts: (core, phrase, d, k, first, last)."""
+    """The parse of all texts: (core, phrase, d, k, first, last, times, own)."""
+    spans = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        cols: list[list[int]] = [[] for _ in range(6)]
+        cols: list[list] = [[] for _ in range(8)]
         for d, k, text in zip(*(batch.column(c).to_pylist() for c in ("d", "k", "text")), strict=True):
-            for core, phrase, first, last, _ in phrases(text.encode("utf-8", "surrogatepass"), length, gram):
-                for col, x in zip(cols, (core, phrase, d, k, first, last), strict=True):
+            for core, phrase, first, last, times, own in counted(phrases(text.encode("utf-8", "surrogatepass"), length, gram), length):
+                for col, x in zip(cols, (core, phrase, d, k, first, last, times, own), strict=True):
                     col.append(x)
-        types = [pa.int64()] * 4 + [pa.int32()] * 2
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["core", "phrase", "d", "k", "first", "last"])
+        types = [pa.int64()] * 4 + [pa.int32()] * 3 + [spans]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["core", "phrase", "d", "k", "first", "last", "times", "own"])
 
-    return by_batch(docs, work, "core long, phrase long, d long, k long, first int, last int")
+    return by_batch(docs, work, "core long, phrase long, d long, k long, first int, last int, times int, own array<struct<s:int,e:int>>")
 
 
 def _contexts(asked: DataFrame, length: int) -> DataFrame:
@@ -156,13 +183,14 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int = GRAM, most: int =
     by_core, by_phrase = Window.partitionBy("core"), Window.partitionBy("core", "phrase")
     parsed = (
         _parse(keyed, length, gram)
-        .withColumn("copies", F.count(F.lit(1)).over(by_phrase))
+        .withColumn("copies", F.sum("times").over(by_phrase))
         .withColumn("nth", F.row_number().over(by_phrase.orderBy("d", "k", "first")))
         .withColumn("n", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_core))
         .where("copies > 1 or n > 1")
     )
     parsed = written(parsed, "phrases")
-    whole = parsed.where("copies > 1").select("d", "k", F.col("first").alias("s"), (F.col("last") + length).alias("e"))
+    one = F.array(F.struct(F.col("first").alias("s"), (F.col("last") + length).cast("int").alias("e")))
+    whole = parsed.where("copies > 1").select("d", "k", F.explode(F.coalesce("own", one)).alias("x")).select("d", "k", "x.s", "x.e")
     want = parsed.where("n > 1 and nth = 1").groupBy("d", "k").agg(F.collect_list(F.struct("core", "first", "last", "n")).alias("want"))
     found = _contexts(keyed.join(want, ["d", "k"]), length)
     found = written(found, "dictionary")
@@ -175,17 +203,6 @@ def repeated_spans(keyed: DataFrame, length: int, gram: int = GRAM, most: int =
     return whole.unionByName(spans).unionByName(many)
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans that overlap or touch, as one."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
 def without_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept binary) of every document.
 
