@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meritlake.llm.base import by_batch, texts_of, written
+from meritlake.llm.base import by_batch, least_hashed, texts_of, written
 
 #: Fixed values of the rules.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -144,7 +144,7 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
     texts have no words and fail the base rules. Repeated rows are judged each; an empty table gives an empty one.
     """
     stats = written(rule_statistics(docs), "statistics")
-    sample = stats.where(F.col("n_words") >= MIN_WORDS).orderBy(F.xxhash64("doc_id"), "n_words").limit(fit_rows).select("features").collect()
+    sample = least_hashed(stats.where(F.col("n_words") >= MIN_WORDS), fit_rows, "doc_id", "n_words").select("features").collect()
     if not sample:
         return stats.drop("features").withColumns({"base_failed": F.lit(True), "anomaly": F.lit(0.5), "kept": F.lit(False)})
     forest = stats.sparkSession.sparkContext.broadcast(Forest(np.array([r[0] for r in sample])))
