@@ -9,8 +9,9 @@ from struct import pack
 import numpy as np
 
 #: Pieces that are kept; a full table is emptied, so memory is bounded.
-KEPT_PIECES = 500_000
-_ODD = re.compile(r"\s | \s|^\s|\s$")
+KEPT_PIECES = 700_000
+#: Marks that the pattern parts from the word before them.
+_TAILS = frozenset(".,")
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -37,29 +38,37 @@ class Pieces:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.spans = spans
+        self.newline = pack("<2i", 0, 1) if spans else pack("<I", *self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.tails = {t: self._run(t) for t in _TAILS}
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
 
-    def _encode(self, pieces: list[str], before: str) -> list[bytes]:
-        """What is kept of pieces that stand behind before: ids, or places that count from the piece's first character with before."""
+    def _encode(self, pieces: list[str], space: bool) -> list[bytes]:
+        """What is kept of pieces, with the space before them if there is one: ids, or places from the first character on."""
         out: list[bytes] = [b""] * len(pieces)
-        rest = []
+        rest, kept, run, tail_of = [], self.later if space else self.first, self._run, self.tails.get
         for k, piece in enumerate(pieces):
-            tail = piece[-1:] if piece[-1:] in (".", ",") else ""
-            word = piece[: len(piece) - len(tail)]
-            if word.isalpha() and (word.isascii() or max(word) < "\u0250"):  # the pattern makes one run of it, and one of the tail
-                out[k] = self._run(before + word) + (self._run(tail, len(before) + len(word)) if tail else b"")
-            else:
+            before, line = (" ", b"") if space else ("", b"")
+            if piece[:1] == "\n":  # a line break between words is a token of its own, and no space follows it
+                before, line, piece = "", self.newline, piece[1:]
+            word, tail = (piece[:-1], piece[-1]) if piece[-1:] in _TAILS else (piece, "")
+            if not word.isalpha() or not (word.isascii() or max(word) < "\u0250"):
                 rest.append(k)
+                continue
+            # the pattern makes one run of the word, and one of the mark behind it
+            found = None if line or not tail else kept.get(word)
+            if found is None:
+                found = run(before + word, len(line) // 8)
+            out[k] = line + found + (tail_of(tail) if not self.spans else run(tail, len(line) // 8 + len(before) + len(word))) if tail else line + found
         if rest:
-            found = self.tokenizer.encode_batch([before + pieces[k] for k in rest], add_special_tokens=False)
-            for k, e in zip(rest, found, strict=True):
+            texts = [pieces[k] if pieces[k][:1] == "\n" or not space else " " + pieces[k] for k in rest]
+            for k, e in zip(rest, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
                 out[k] = np.array(e.offsets, dtype="<i4").tobytes() if self.spans else np.array(e.ids, dtype="<u4").tobytes()
         return out
 
     def _run(self, run: str, base: int = 0) -> bytes:
         raw = run.encode()
-        tokens = self.model.tokenize(raw.decode("latin-1").translate(self.letters))
+        tokens = self.model.tokenize(raw.decode("latin-1").translate(self.letters) if len(raw) > len(run) else run.replace(" ", self.letters[32]))
         if not self.spans:
             return pack(f"<{len(tokens)}I", *[t.id for t in tokens])
         ends = list(accumulate(len(t.value) for t in tokens))
@@ -72,10 +81,12 @@ class Pieces:
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """The text's pieces; each but the first stood behind one space."""
+        """The text's pieces; each but the first stood behind one space, or begins with the line break it stood behind."""
         if not text:
             return []
-        return _BREAK.split(text) if _ODD.search(text) else text.split(" ")
+        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # no white space next to other, and none but these two
+            return text.replace("\n", " \n").split(" ")
+        return _BREAK.split(text)
 
     def learn(self, cut: list[list[str]]) -> None:
         """Encode what is not kept yet of many texts' pieces."""
@@ -84,9 +95,9 @@ class Pieces:
         if len(self.first) > KEPT_PIECES:
             self.first.clear()
         new = list({p for pieces in cut for p in pieces[1:]}.difference(self.later))
-        self.later.update(zip(new, self._encode(new, " "), strict=True))
+        self.later.update(zip(new, self._encode(new, True), strict=True))
         new = list({pieces[0] for pieces in cut if pieces}.difference(self.first))
-        self.first.update(zip(new, self._encode(new, ""), strict=True))
+        self.first.update(zip(new, self._encode(new, False), strict=True))
 
     def ids(self, pieces: list[str]) -> bytes:
         """All ids of a text in order, four bytes each, little-endian. learn() came first."""
@@ -97,8 +108,8 @@ class Pieces:
         if not pieces:
             return np.zeros((0, 2), dtype=np.int64)
         found = [self.first[pieces[0]], *map(self.later.__getitem__, pieces[1:])]
-        widths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces)) + 1
-        widths[0] -= 1
+        widths = np.fromiter((len(p) + (p[:1] != "\n") for p in pieces), dtype=np.int64, count=len(pieces))
+        widths[0] = len(pieces[0])
         base = np.cumsum(widths) - widths
         counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 8
         return np.frombuffer(b"".join(found), dtype="<i4").reshape(-1, 2) + np.repeat(base, counts)[:, None]
