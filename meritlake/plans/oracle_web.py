@@ -132,7 +132,7 @@ select user_id, strength, case when strength >= 100 then '' else array_to_string
 m as (select opp_id, score, title, provider, {MESSAGES} as messages from scored)
 select opp_id, count(*) as n, max(score) as best from m where contains(lower(title), 'ring') or contains(lower(provider), 'ring') or contains(lower(messages), 'ring') group by opp_id""",
     "O06_latest_turn": "select conv_id, max(turn) as turn, max_by(role, turn) as role, md5(max_by(text, turn)) as text_md5 from conversations group by conv_id",
-    "C09_page_extracts": f"""with t as (select page_id, trim(url) as url, {_unescape("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} as title, {_visible("html")} as text from pages),
+    "C09_page_extracts": rf"""with t as (select page_id, trim(url) as url, {_unescape("trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1))")} as title, {_visible("html")} as text from pages),
 src as (select trim(url) as url, arg_min(page_id, page_id) as id from pages where page_id % 2 = 0 group by 1),
 x as (select *, lower(text) as x, regexp_extract(text, '[$£€]\s*(\d[\d,]*(?:\.\d+)?)', 1) as money, regexp_extract(text, '(?i)\bdeadline:?\s+([A-Za-z]{{3,9}}\.? \d{{1,2}}, \d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}})', 1) as due from t),
 m as (select *, {_metros("x")} as ms, {_mapped("x", v.DISCIPLINE_WORDS)} as dis, {_mapped("x", v.CREDENTIAL_WORDS)} as cre, try_cast(replace(money, ',', '') as double) as a from x)
