@@ -186,6 +186,22 @@ def test_leaks(spark, odd, none):
     assert latent.leaks(none, benchmark).count() == 0 and latent.leaks(odd, benchmark).count() == 0 and latent.leaks(docs, benchmark.where("false")).count() == 0
 
 
+def test_leaks_of_items_in_a_third_of_the_rows(spark):
+    rng = random.Random(16)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(2, 7))) for _ in range(2000)]
+    items = [(k, " ".join(rng.choices(words, k=20))) for k in range(3)] + [(3, "five words are enough here"), (4, "the of and to a in is it the of")]
+    rows, want = [], set()
+    for k in range(300):
+        text = rng.choices(words, k=60) + ["the", "and", "of", "to", "a", "in", "is", "it"]
+        rng.shuffle(text)
+        for i in [0] * (k % 3 == 0) + [1] * (k % 50 == 1) + [3] * (k % 40 == 2) + [4] * (k % 60 == 5):
+            text[20:20] = items[i][1].split()
+            want.add((k, i))
+        rows.append((k, " ".join(text)))
+    found = latent.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
+
+
 def test_common_length():
     rng = random.Random(3)
     for _ in range(60):
