@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,7 +123,7 @@ def _digits_of(m: re.Match) -> list[Edit]:
 
 def disguised(text: str) -> bool:
     """Whether any step of plain() would change the text."""
-    return bool((not text.isascii() and _LIKE.search(text)) or ("at" in text.lower() and (_AT.search(text) or _BARE.search(text))) or _DOT.search(text) or _SPELLED.search(text) or _AFTER_AT.search(text))
+    return bool((not text.isascii() and _LIKE.search(text)) or (("@" in text or "at" in text.lower()) and (_AT.search(text) or _BARE.search(text))) or _DOT.search(text) or _SPELLED.search(text) or _AFTER_AT.search(text))
 
 
 def plain(text: str) -> tuple[str, list[int], list[int]]:
@@ -142,7 +142,7 @@ def plain(text: str) -> tuple[str, list[int], list[int]]:
 
 
 def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
-    """Base spans, and those with what only the text without disguises shows, none of which overlaps a base span of its kind."""
+    """Base spans, and those with what only the text without disguises shows, which may hold or overlap base spans of their kind."""
     base = spans(text)
     if not disguised(text):
         return base, base
@@ -152,8 +152,8 @@ def all_spans(text: str) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
         new = []
         for a, b in spans(now)[kind] if now != text else ():
             s, e = starts[a], ends[b - 1]
-            k = bisect_left(own, (s, s))
-            if not ((k < len(own) and own[k][0] < e) or (k and own[k - 1][1] > s)):
+            k = bisect_right(own, (s, len(text)))
+            if not (k and own[k - 1][1] >= e):  # what lies in a base span says nothing more
                 new.append((s, e))
         found[kind] = sorted({*own, *new})
     return base, found
@@ -165,9 +165,9 @@ def told(found: dict[str, list[Span]]) -> str:
 
 
 def masked(text: str, found: dict[str, list[Span]]) -> str:
-    """The text with each span replaced by its kind in brackets; of overlapping spans, the first stands for all."""
+    """The text with each span replaced by its kind in brackets; of overlapping spans, the first and longest stands for all."""
     out, at = [], 0
-    for a, b, kind in sorted((a, b, k) for k in KINDS for a, b in found[k]):
+    for a, b, kind in sorted(((a, b, k) for k in KINDS for a, b in found[k]), key=lambda x: (x[0], -x[1], x[2])):
         if a >= at:
             out += [text[at:a], f"[{kind.upper()}]"]
         at = max(at, b)

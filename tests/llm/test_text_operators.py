@@ -312,6 +312,20 @@ def test_disguises():
         assert not any(pii.all_spans(clean)[1].values()), clean
 
 
+def test_disguises_that_leave_a_part_of_the_identifier():
+    for text, whole, part in (
+        ("to j\u043ehn.smith@example.com now", "j\u043ehn.smith@example.com", "hn.smith@example.com"),
+        ("to john@example.c\u043em now", "john@example.c\u043em", "john@example.c"),
+        ("write joe[@]foo.com now", "joe[@]foo.com", None),
+    ):
+        base, found = pii.all_spans(text)
+        assert [text[a:b] for a, b in base["email"]] == ([part] if part else []), text
+        assert sorted(text[a:b] for a, b in found["email"]) == sorted({whole, part} - {None}), text
+        assert pii.masked(text, found) == text.replace(whole, "[EMAIL]")
+    text = "a@b.co and ip 10.0.0.1, card ４111 1111 1111 1111"
+    assert pii.masked(text, pii.all_spans(text)[1]) == "[EMAIL] and ip [IP], card [CARD]"
+
+
 def test_detect_and_mask(docs, odd, none):
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     want = Counter()
