@@ -202,6 +202,25 @@ def test_leaks_of_items_in_a_third_of_the_rows(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found.collect()} == want
 
 
+def test_leaks_of_long_and_short_items_with_words_put_in(spark):
+    rng = random.Random(26)
+    words = ["".join(rng.choices("abcdefghijklm", k=rng.randint(3, 8))) for _ in range(6000)]
+    items = [(k, " ".join(rng.choices(words, k=200 if k < 10 else 10))) for k in range(40)]
+    rows, want = [], set()
+    for k in range(200):
+        text = rng.choices(words, k=80)
+        if k % 2 == 0 and k < 80:  # a word after every second one, so no run of three is left
+            said = items[k // 2][1].split()
+            text[30:30] = [x for i, w in enumerate(said) for x in ((w, f"new{i}") if i % 2 and k < 20 else (w,))]
+            want.add((k, k // 2))
+        rows.append((k, " ".join(text)))
+    rows.append((900, " ".join(t for _, t in items[10:])))
+    want |= {(900, k) for k in range(10, 40)}
+    found = {(r["doc_id"], r["item_id"], r["cosine"] is not None) for r in latent.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {x[:2] for x in found} == want
+    assert sum(x[2] for x in found) >= 0.9 * len(want)  # found by vectors, not by runs of words alone
+
+
 def test_common_length():
     rng = random.Random(3)
     for _ in range(60):
