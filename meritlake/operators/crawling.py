@@ -96,11 +96,15 @@ def repaired(opportunities: DataFrame, status: DataFrame, sources: DataFrame) ->
     name = F.lower(F.trim("provider"))
     keyed = opportunities.withColumns({"p_name": name, "p_domain": web.domain_of(F.col("portal_url")), "root": web.root_of(F.col("portal_url"))})
     asked = keyed.where(name != "").select("p_name", "p_domain").distinct()
-    src = F.broadcast(sources.select("name", F.col("url").alias("source"), "nth", web.domain_of(F.col("url")).alias("s_domain")))  # a registry of sources: a small table by its nature
-    exact = asked.join(src, asked.p_name == src.name).withColumn("how", F.lit(0))
-    within = asked.join(src, F.col("p_name").contains(F.col("name")) | F.col("name").contains(F.col("p_name"))).withColumn("how", F.lit(1))
-    same = asked.join(src, (asked.p_domain == src.s_domain) & (F.col("p_domain") != "")).withColumn("how", F.lit(2))
-    best = exact.unionByName(within).unionByName(same).groupBy("p_name", "p_domain").agg(F.min_by("source", F.struct("how", "nth")).alias("source"))
+    src = sources.select("name", F.col("url").alias("source"), "nth", web.domain_of(F.col("url")).alias("s_domain"))
+    first = [F.min_by("source", "nth").alias("source"), F.min("nth").alias("nth")]
+    names, domains = src.groupBy("name").agg(*first), src.groupBy("s_domain").agg(*first)
+    providers = asked.select("p_name").distinct()
+    within = providers.join(F.broadcast(names), F.col("p_name").contains(F.col("name")) | F.col("name").contains(F.col("p_name")))  # distinct names only
+    named = asked.join(within.withColumn("how", F.when(F.col("p_name") == F.col("name"), 0).otherwise(1)), "p_name")
+    same = asked.join(domains, (asked.p_domain == domains.s_domain) & (F.col("p_domain") != "")).withColumn("how", F.lit(2))
+    cols = ["p_name", "p_domain", "source", "nth", "how"]
+    best = named.select(cols).unionByName(same.select(cols)).groupBy("p_name", "p_domain").agg(F.min_by("source", F.struct("how", "nth")).alias("source"))
     live = lambda df, c, flag: df.join(alive.select(F.col("url").alias(c), F.lit(True).alias(flag)), c, "left")
     checked = live(live(live(keyed.join(best, ["p_name", "p_domain"], "left"), "portal_url", "self_ok"), "root", "root_ok"), "source", "source_ok")
     to_root, to_source = F.col("root_ok") & (F.col("root") != F.col("portal_url")), F.col("source_ok") & (F.col("source") != F.col("portal_url"))

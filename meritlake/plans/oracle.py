@@ -187,3 +187,6 @@ fold as (select user_id, n, ts as start, 1 as used, 1 as allowed, 0 as blocked f
 select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as cycle_start, cast(used as bigint) as used, cast(allowed as bigint) as allowed, cast(blocked as bigint) as blocked
 from fold qualify row_number() over (partition by user_id order by n desc) = 1""",
 }
+
+# The same feeds, not cut at a rank.
+ORACLE |= {new: ORACLE[old].replace(" where rank <= 10", "") for new, old in (("C03_whole_feed", "C03_match_feed"), ("C04_whole_tiered_feed", "C04_tiered_feed"))}

@@ -30,6 +30,11 @@ def match_feed(spark: SparkSession, sf: str) -> DataFrame:
     return feed.select("user_id", "rank", "opp_id", "score", "award")
 
 
+def whole_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """All eligible opportunities of each profile, ranked."""
+    return matching.ranked_feed(d.profiles(spark, sf), d.opportunities(spark, sf)).select("user_id", "rank", "opp_id", "score", "award")
+
+
 def score_tracked(spark: SparkSession, sf: str) -> DataFrame:
     """Gates, points and messages of every tracked pair."""
     pairs = d.trackings(spark, sf).select("user_id", "opp_id").join(matching.ready_profiles(d.profiles(spark, sf)), "user_id").join(matching.ready_opportunities(d.opportunities(spark, sf)), "opp_id")
@@ -45,6 +50,13 @@ def tiered_feed(spark: SparkSession, sf: str) -> DataFrame:
     return feed.select("user_id", "rank", "opp_id", "score", "is_locked", "shown_title", "shown_provider", "portal_url")
 
 
+def whole_tiered_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Each profile's whole feed without dismissed ones, as its tier may see it."""
+    gone = d.trackings(spark, sf).where("is_dismissed")
+    feed = tiering.gated(matching.ranked_feed(d.profiles(spark, sf), d.opportunities(spark, sf), dismissed=gone))
+    return feed.select("user_id", "rank", "opp_id", "score", "is_locked", "shown_title", "shown_provider", "portal_url")
+
+
 def feed_totals(spark: SparkSession, sf: str) -> DataFrame:
     """How many opportunities a profile may have, what they are worth, and its best score."""
     feed = matching.with_scores(matching.eligible_pairs(matching.ready_profiles(d.profiles(spark, sf)), matching.ready_opportunities(d.opportunities(spark, sf))))
@@ -178,10 +190,10 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def repair_urls(spark: SparkSession, sf: str) -> DataFrame:
-    """Link checks of opportunities, with suppliers as the registry of sources."""
+    """Link checks of opportunities, with all suppliers as the registry of sources, under the names of the 25 brands."""
     opps = d.opportunities(spark, sf).select("opp_id", "provider", "portal_url", "is_archived")
     roots = opps.select(web.root_of(F.col("portal_url")).alias("url")).distinct().where("crc32(url) % 3 = 0")
-    sources = d.table(spark, sf, "supplier").where("s_suppkey <= 25").select(F.concat(F.lit("brand#"), (F.col("s_suppkey") + 10).cast("string")).alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example.net/")).alias("url"), F.col("s_suppkey").alias("nth"))
+    sources = d.table(spark, sf, "supplier").select(F.concat(F.lit("brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example.net/")).alias("url"), F.col("s_suppkey").alias("nth"))
     alive = opps.where("opp_id % 4 <> 0").select(F.col("portal_url").alias("url")).unionByName(roots).unionByName(sources.where("nth % 2 = 0").select("url"))
     return crawling.repaired(opps, alive.withColumn("code", F.lit(200)), sources).select("opp_id", "action", "new_url")
 
@@ -310,7 +322,7 @@ def upcoming(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def keyword_feed(spark: SparkSession, sf: str) -> DataFrame:
-    """tracked pairs whose title, provider or messages hold a word, in any case; percent signs and underscores are themselves."""
+    """tracked pairs whose title, provider or messages hold a word, in any case; percent signs and underscores are themselves."""
     pairs = d.trackings(spark, sf).select("user_id", "opp_id").join(matching.ready_profiles(d.profiles(spark, sf)), "user_id").join(matching.ready_opportunities(d.opportunities(spark, sf)), "opp_id")
     scored = matching.with_messages(matching.with_scores(pairs))
     hit = F.lower("title").contains("ring") | F.lower("provider").contains("ring") | F.exists("messages", lambda m: F.lower(m).contains("ring"))
@@ -339,3 +351,5 @@ def latest_turn(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES |= {"C09_page_extracts": page_extracts, "O06_latest_turn": latest_turn}
+
+QUERIES |= {"C03_whole_feed": whole_feed, "C04_whole_tiered_feed": whole_tiered_feed}

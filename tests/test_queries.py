@@ -44,3 +44,14 @@ def test_same_as_sql(spark, con, name):
 
 def test_every_query_has_sql_or_a_test_of_its_own():
     assert set(QUERIES) - set(SQL) == {"C12_crawl", "C17_repair_urls"}
+
+
+def test_whole_feeds_go_on_past_the_tenth(spark):
+    assert all(QUERIES[n](spark, SF).where("rank > 10").count() for n in ("C03_whole_feed", "C04_whole_tiered_feed"))
+
+
+def test_repair_finds_the_source_of_each_brand_that_a_supplier_has(spark):
+    from meritlake.plans import domain
+
+    got = QUERIES["C17_repair_urls"](spark, SF).where("action = 'source'").join(domain.opportunities(spark, SF).select("opp_id", "provider"), "opp_id")
+    assert {"brand#5", "brand#7", "brand#9"} <= {r[0].lower() for r in got.select("provider").distinct().collect()}
