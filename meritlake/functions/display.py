@@ -83,3 +83,59 @@ def month_grid(day: Column) -> Column:
 def days_left(deadline: Column, now: Column) -> Column:
     """Whole days to a deadline, a begun one counting."""
     return F.ceil((F.unix_timestamp(deadline.cast("timestamp")) - F.unix_timestamp(now)) / 86400)
+
+
+def first_name(name: Column) -> Column:
+    """What stands before the first space; there for no name. A leading space leaves nothing."""
+    return F.when(F.coalesce(name, F.lit("")) == "", "there").otherwise(F.substring_index(name, " ", 1))
+
+
+def humanized(label: Column) -> Column:
+    """A label with spaces for underscores."""
+    return F.replace(label, F.lit("_"), F.lit(" "))
+
+
+def short_metro(value: Column, options: Column) -> Column:
+    """The short name of an area given by name or key, among options array<struct<slug, name, short>>; others are shortened.
+
+    A CBSA code is compared with keys, as in the reference, and so never found.
+    """
+    by = lambda field, v: F.get(F.filter(options, lambda m: m[field] == v), F.lit(0))["short"]
+    return F.coalesce(by("name", value), by("slug", value), F.when(value.startswith("cbsa:"), by("slug", F.substring(value, 6, 1000))), shortened(value))
+
+
+def metros_for_state(state: Column, options: Column) -> Column:
+    """options array<struct<slug, .., states array<string>>>, those of a state first, each part in its order."""
+    code = F.upper(F.trim(state))
+    own = lambda m: (code != "") & F.array_contains(m["states"], code)
+    return F.concat(F.filter(options, own), F.filter(options, lambda m: ~own(m)))
+
+
+def first_messages(messages: Column, most: int = 3) -> Column:
+    """The messages that have room."""
+    return F.slice(messages, 1, most)
+
+
+def truncated(text: Column, most: int = 12_000) -> Column:
+    """The first characters that an extraction may read."""
+    return F.left(text, F.lit(most))
+
+
+def outline_markdown(outline: Column) -> Column:
+    """An outline struct<theme, angle, parts array<struct<label, words, points, tips>>, checklist> as Markdown."""
+    listed = lambda head, items, mark: F.when(F.size(items) > 0, F.concat(F.lit(head + "\n"), F.array_join(F.transform(items, lambda x: F.concat(F.lit(mark), x, F.lit("\n"))), ""))).otherwise("")
+    part = lambda p: F.concat(
+        F.lit("### "), p["label"], F.lit(" (~"), p["words"].cast("string"), F.lit(" words)\n"), listed("**Talking Points:**", p["points"], "- "), listed("**Coaching Tips:**", p["tips"], "- "), F.lit("\n")
+    )
+    head = F.concat(F.lit("## AI Essay Outline\n\n**Suggested Theme:** "), outline["theme"], F.lit("\n\n**Mission Alignment:** "), outline["angle"], F.lit("\n\n"))
+    return F.concat(head, F.array_join(F.transform(outline["parts"], part), ""), listed("### Pre-Submission Checklist", outline["checklist"], "- [ ] "))
+
+
+def appended_notes(notes: Column, markdown: Column) -> Column:
+    """Notes with an outline behind a rule; without notes the outline alone."""
+    return F.when(F.coalesce(notes, F.lit("")) == "", markdown).otherwise(F.concat(notes, F.lit("\n\n---\n\n"), markdown))
+
+
+def outline_request(body: Column, listed: Column) -> Column:
+    """What a request says, else the first of the profile's list, else null."""
+    return F.coalesce(F.nullif(body, F.lit("")), F.try_element_at(listed, F.lit(1)))

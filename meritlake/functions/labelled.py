@@ -16,17 +16,17 @@ _VOID = frozenset("area base br col embed hr img input link meta source track wb
 
 
 class _Tree(HTMLParser):
-    """Elements in order, each with name, parent and text."""
+    """Elements in order, each with name, parent, attributes and text."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.nodes: list[dict] = [{"name": "", "up": -1, "text": []}]
+        self.nodes: list[dict] = [{"name": "", "up": -1, "text": [], "attrs": {}}]
         self.open = [0]
 
     def handle_starttag(self, tag, attrs):
         if tag == self.nodes[self.open[-1]]["name"] and tag in ("p", "li", "dt", "dd", "td", "th", "tr"):
             self.open.pop()
-        self.nodes.append({"name": tag, "up": self.open[-1], "text": []})
+        self.nodes.append({"name": tag, "up": self.open[-1], "text": [], "attrs": dict(attrs)})
         if tag not in _VOID:
             self.open.append(len(self.nodes) - 1)
 
@@ -41,11 +41,19 @@ class _Tree(HTMLParser):
             self.nodes[k]["text"].append(data)
 
 
-def _parsed(html: str) -> list[tuple[str, int, str]]:
+def _tree(html: str) -> list[dict]:
     tree = _Tree()
     tree.feed(html)
     tree.close()
-    return [(n["name"], n["up"], re.sub(r"\s+", " ", "".join(n["text"])).strip()) for n in tree.nodes]
+    return tree.nodes
+
+
+def _text(node: dict) -> str:
+    return re.sub(r"\s+", " ", "".join(node["text"])).strip()
+
+
+def _parsed(html: str) -> list[tuple[str, int, str]]:
+    return [(n["name"], n["up"], _text(n)) for n in _tree(html)]
 
 
 def value_of(html: str, labels: list[str]) -> str:
@@ -74,6 +82,21 @@ def criteria_of(html: str) -> str:
     return " ".join(out)
 
 
+def first_of(html: str, names: tuple[str, ...]) -> str:
+    """The text of the first element with one of names."""
+    return next((_text(n) for n in _tree(html or "") if n["name"] in names), "")
+
+
+def publisher_of(html: str) -> str:
+    """The content of the first meta element whose name speaks of an organisation or a publisher."""
+    return next((re.sub(r"\s+", " ", c).strip() for n in _tree(html or "") if n["name"] == "meta" and re.search("org|publisher", n["attrs"].get("name") or "", re.I) and (c := n["attrs"].get("content"))), "")
+
+
+def sponsor_of(html: str) -> str:
+    """The text of the first element whose class speaks of a provider, sponsor or organisation."""
+    return next((_text(n) for n in _tree(html or "") if re.search("provider|sponsor|organization", n["attrs"].get("class") or "", re.I)), "")
+
+
 def labelled(html: Column, labels: list[str]) -> Column:
     """value_of() for each page."""
 

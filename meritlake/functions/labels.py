@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,10 +58,40 @@ def metro_of(value: Column) -> Column:
     return F.coalesce(F.try_element_at(codes, v), F.try_element_at(names, v), v)
 
 
+def metro_name(slug: Column) -> Column:
+    """The name of an area by its key; unknown ones are their own."""
+    return F.coalesce(F.try_element_at(lookup({m[0]: m[1] for m in METROS}), slug), slug)
+
+
+def metro_code(slug: Column) -> Column:
+    """The CBSA code of an area by its key; unknown ones have an empty one."""
+    return F.coalesce(F.try_element_at(lookup({m[0]: m[2] for m in METROS}), slug), F.lit(""))
+
+
+def terms_in(text: Column, terms: list[str], whole: bool = False) -> Column:
+    """Places in terms, rising, of those that a text holds in any case; whole: as whole words only.
+
+    One pass: at each place of the text the longest term that stands there is found, and it stands for those it begins
+    with.
+    """
+    safe = lambda t: re.sub(r"([.*+?()|\[\]{}^$\\])", r"\\\1", t)
+    by_letter: dict[str, list[str]] = {}
+    for t in sorted(set(terms), key=len, reverse=True):
+        by_letter.setdefault(t[0], []).append(safe(t[1:]))
+    any_term = "|".join(f"{safe(k)}(?:{'|'.join(rest)})" for k, rest in by_letter.items())
+    edge = r"[a-z'\-]"
+    ends = lambda t, k: not whole or k == len(t) or not re.match(edge, t[k])
+    held = {t: F.array(*[F.lit(n) for n, x in enumerate(terms) if t.startswith(x) and ends(t, len(x))]) for t in dict.fromkeys(terms)}
+    pattern = f"(?<!{edge})(?=({any_term})(?!{edge}))" if whole else f"(?=({any_term}))"
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(1)))
+    known = F.create_map(*[x for t, places in held.items() for x in (F.lit(t), places)])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda t: F.element_at(known, t)))))
+
+
 def _mapped(text: Column, words: dict[str, list[str]]) -> Column:
-    low = F.lower(text)
-    hits = [F.when(F.exists(strings(w), lambda x: low.contains(x)), k) for k, w in words.items()]
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_compact(F.array(*hits))))
+    terms = list(dict.fromkeys(w for ws in words.values() for w in ws))
+    labels = F.array(*[strings([k for k, ws in words.items() if t in ws]) for t in terms])
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(terms_in(text, terms), lambda n: F.get(labels, n)))))
 
 
 def disciplines_in(text: Column) -> Column:
@@ -74,10 +106,10 @@ def credentials_in(text: Column) -> Column:
 
 def metro_terms() -> tuple[dict[str, str], dict[str, str]]:
     """Words for areas and counties with the area of each; a county of two areas belongs to the later one, at its first place."""
-    words = {w: m[0] for m in METROS for w in m[4].split(",")}
+    words = {w: m[0] for m in METROS for w in m[4]}
     counties: dict[str, str] = {}
     for m in METROS:
-        for c in m[3].split(","):
+        for c in m[3]:
             counties[c] = m[0]
     return words, counties
 
@@ -85,8 +117,6 @@ def metro_terms() -> tuple[dict[str, str], dict[str, str]]:
 def metros_in(text: Column) -> Column:
     """Areas that a text names, each once: first by words for areas, then by counties, as whole words."""
     words, counties = metro_terms()
-    hits, low = [], F.lower(text)
-    for term, slug in [*words.items(), *counties.items()]:
-        safe = term.replace(".", r"\.")
-        hits.append(F.when(low.contains(term) & F.rlike(low, F.lit(rf"(?<![a-z'\-]){safe}(?![a-z'\-])")), slug))
-    return F.array_distinct(F.array_compact(F.array(*hits)))
+    named = [*words.items(), *counties.items()]
+    areas = strings([slug for _, slug in named])
+    return F.array_distinct(F.transform(terms_in(text, [t for t, _ in named], whole=True), lambda n: F.get(areas, n)))

@@ -10,9 +10,9 @@ from meritlake.functions.vocabulary import BLOCKED_DOMAINS, EXTENSIONS, HUB_PATH
 
 
 def normal_url(url: Column) -> Column:
-    """A web address without white space around it and without its fragment; anything else is null."""
-    u = F.trim(url)
-    return F.when(F.rlike(u, F.lit("^(?i:https?):")), F.concat(F.lower(F.substring_index(u, ":", 1)), F.regexp_replace(F.substring(u, F.instr(u, F.lit(":")), F.length(u)), "#.*$", "")))
+    """A web address without white space around it and without its fragment, its scheme in lower case; anything else is null."""
+    bare = F.trim(F.regexp_extract(F.trim(url), "^((?i:https?):[^#]*)", 1))
+    return F.nullif(F.regexp_replace(F.regexp_replace(bare, "^(?i:https):", "https:"), "^(?i:http):", "http:"), F.lit(""))
 
 
 def domain_of(url: Column) -> Column:
@@ -32,7 +32,28 @@ def root_of(url: Column) -> Column:
 
 def resolved(href: Column, page: Column) -> Column:
     """A link on a page as a full address; links within the page and to mail, telephone or scripts are null."""
-    h = F.trim(href)
+    return _collapsed(_joined(F.trim(href), page))
+
+
+def resolved_or_page(href: Column, page: Column) -> Column:
+    """A link as a full address; a missing or blank one is the page itself."""
+    return F.when(F.trim(F.coalesce(href, F.lit(""))) == "", page).otherwise(resolved(href, page))
+
+
+def _collapsed(url: Column) -> Column:
+    """An address without . and .. in its path."""
+    head, path, tail = (F.regexp_extract(url, r"^([A-Za-z]+://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    kept = F.aggregate(
+        F.slice(parts, 2, 10_000), F.array().cast("array<string>"),
+        lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x))),
+    )
+    ended = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(F.rlike(url, F.lit(r"^[A-Za-z]+://[^?#]*/\.\.?(/|[?#]|$)")), F.concat(head, F.lit("/"), F.array_join(ended, "/"), tail)).otherwise(url)
+
+
+def _joined(h: Column, page: Column) -> Column:
     folder = F.regexp_replace(F.regexp_replace(page, r"[?#].*$", ""), r"(://[^/]+.*/)[^/]*$", "$1")
     return (
         F.when((h == "") | F.rlike(h, F.lit("^(#|mailto:|tel:|javascript:)")), F.lit(None).cast("string"))
@@ -52,24 +73,23 @@ def _file(path: Column) -> Column:
     return F.exists(strings(EXTENSIONS), lambda e: path.endswith(e))
 
 
-def followed(url: Column, page: Column) -> Column:
-    """Whether the crawl follows a link: not a file, not blocked, no negative path; on the page's own domain, or with a word of interest."""
-    path, domain = path_of(url), domain_of(url)
+def followed(path: Column, domain: Column, home: Column) -> Column:
+    """Whether the crawl follows a link from a page at home: not a file, not blocked, no negative path; on the page's own domain, or with a word of interest."""
     portal = domain.endswith(".academicworks.com") & path.contains("/opportunities")
-    ok = F.rlike(url, F.lit("^https?://")) & ~_file(path) & ~domain.isin(*BLOCKED_DOMAINS) & ~_within(path, NEGATIVE_PATHS)
-    return ok & ((domain == domain_of(page)) | portal | _within(path, PATH_WORDS))
+    ok = (domain != "") & ~_file(path) & ~domain.isin(*BLOCKED_DOMAINS) & ~_within(path, NEGATIVE_PATHS)
+    return ok & ((domain == home) | portal | _within(path, PATH_WORDS))
 
 
-def hub(url: Column, queued: bool = False) -> Column:
+def hub(path: Column, domain: Column, queued: bool = False) -> Column:
     """Whether a link looks like a directory worth crawling from; queued: by the queue's wider list of excluded domains."""
-    path, domain = path_of(url), domain_of(url)
     out = [*BLOCKED_DOMAINS, *SOCIAL_DOMAINS, *(LOGIN_DOMAINS if queued else [])]
-    return F.rlike(url, F.lit("^https?://")) & ~_file(path) & ~domain.isin(*out) & ~_within(path, NON_HUB_PATHS) & _within(path, HUB_PATHS)
+    return (domain != "") & ~_file(path) & ~domain.isin(*out) & ~_within(path, NON_HUB_PATHS) & _within(path, HUB_PATHS)
 
 
 def links_in(html: Column) -> Column:
-    """All href values, in order."""
-    return F.regexp_extract_all(html, F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    """All href values, quoted or not, in order."""
+    quoted = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    return F.transform(quoted, lambda h: F.regexp_replace(h, """^["']|["']$""", ""))
 
 
 def title_in(html: Column) -> Column:

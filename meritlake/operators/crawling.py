@@ -6,43 +6,49 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritlake.functions import web
-from meritlake.functions.labels import metros_in, strings
+from meritlake.functions.labels import metros_in, strings, terms_in
 from meritlake.functions.parsing import residency
-from meritlake.functions.vocabulary import CONTENT_WORDS, EMPLOYER_POINTS, EMPLOYER_WORDS, LOCAL_POINTS, LOCAL_WORDS, METRO_POINTS, REGION_POINTS, REGION_WORDS
+from meritlake.sources.tables import written
+from meritlake.functions.vocabulary import CONTENT_WORDS, EMPLOYER_POINTS, EMPLOYER_WORDS, LOCAL_POINTS, LOCAL_WORDS, METRO_POINTS, NEGATIVE_PATHS, REGION_POINTS, REGION_WORDS
 
 BATCH, RECRAWL_DAYS = 20, 7
 
 
 def scored_pages(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with base (words of interest), regional (points for places, local and employer words and areas), metros and residency."""
-    low = F.lower(F.col(text))
-    count = lambda words: F.size(F.filter(strings(words), lambda w: low.contains(w)))
-    any_of = lambda words: F.exists(strings(words), lambda w: low.contains(w))
+    count = lambda words: F.size(terms_in(F.col(text), words))
     with_metros = texts.withColumn("metros", metros_in(F.col(text)))
     regional = (
         count(REGION_WORDS) * REGION_POINTS
-        + F.when(any_of(LOCAL_WORDS), LOCAL_POINTS).otherwise(0)
-        + F.when(any_of(EMPLOYER_WORDS), EMPLOYER_POINTS).otherwise(0)
+        + F.when(count(LOCAL_WORDS) > 0, LOCAL_POINTS).otherwise(0)
+        + F.when(count(EMPLOYER_WORDS) > 0, EMPLOYER_POINTS).otherwise(0)
         + F.when(F.size("metros") > 0, METRO_POINTS).otherwise(0)
     )
     return with_metros.withColumns({"base": count(CONTENT_WORDS), "regional": regional, "residency": residency(F.col(text))})
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, nth, url, domain, follow, is_hub): the links of each page (page_id, url, html) that lead to an address, in order."""
-    hrefs = pages.select("page_id", web.normal_url(F.col("url")).alias("page"), F.posexplode(web.links_in(F.col("html"))).alias("nth", "href"))
-    links = hrefs.withColumn("url", web.normal_url(web.resolved(F.col("href"), F.col("page")))).where("url is not null")
-    return links.select("page_id", "nth", "url", web.domain_of(F.col("url")).alias("domain"), web.followed(F.col("url"), F.col("page")).alias("follow"), web.hub(F.col("url")).alias("is_hub"))
+    """(page_id, nth, url, domain, follow, is_hub): the links of each page (page_id, url, html) that lead to an address, in order.
+
+    Each step names what the next one uses, so that no expression is worked out twice.
+    """
+    own = pages.select("page_id", "html", web.normal_url(F.col("url")).alias("page")).withColumn("home", web.domain_of(F.col("page")))
+    hrefs = own.select("page_id", "page", "home", F.posexplode(web.links_in(F.col("html"))).alias("nth", "href"))
+    full = hrefs.withColumn("full", web.resolved(F.col("href"), F.col("page")))
+    links = full.withColumn("url", web.normal_url(F.col("full"))).withColumns({"domain": web.domain_of(F.col("url")), "path": web.path_of(F.col("url"))})
+    judged = links.select("page_id", "nth", "url", "domain", web.followed(F.col("path"), F.col("domain"), F.col("home")).alias("follow"), web.hub(F.col("path"), F.col("domain")).alias("is_hub"))
+    return judged.where("url is not null")
 
 
 def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, cap: int) -> DataFrame:
-    """(node, depth, pos, outcome): every address that a breadth-first crawl takes up, in the order of pos.
+    """(node, depth, place, outcome): every address that a breadth-first crawl takes up, in the order of depth and place.
 
     pages: (node, domain, ok); edges: (node, nth, target); seeds: (node, pos). An address is taken up once, at its first
-    place. Of a domain, cap pages are fetched with success, in order; later ones are capped. Failed and capped
-    pages lead nowhere. One join a level: the loop runs depth + 1 times whatever the table holds.
+    place: the seed's pos, then the number of each link on the way. Of a domain, cap pages are fetched with success, in
+    order; later ones are capped. Failed and capped pages lead nowhere. One join a level: the loop runs depth + 1 times
+    whatever the table holds, and each level is written to the checkpoint folder.
     """
-    level = seeds.groupBy("node").agg(F.min("pos").alias("pos")).withColumn("depth", F.lit(0))
+    level = seeds.groupBy("node").agg(F.min(F.array(F.col("pos").cast("long"))).alias("place")).withColumn("depth", F.lit(0))
     seen = None
     for d in range(depth + 1):
         found = level.join(pages, "node", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
@@ -50,17 +56,16 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, cap:
         if seen is not None:
             spent = seen.where("outcome = 'fetched'").groupBy("domain").agg(F.count(F.lit(1)).alias("spent"))
             found, used = found.join(spent, "domain", "left"), F.coalesce("spent", F.lit(0))
-        turn = F.sum(F.col("ok").cast("int")).over(Window.partitionBy("domain").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1))
+        turn = F.sum(F.col("ok").cast("int")).over(Window.partitionBy("domain").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
         outcome = F.when(F.coalesce(turn, F.lit(0)) + used >= cap, "capped").when(F.col("ok"), "fetched").otherwise("failed")
-        taken = found.withColumn("outcome", outcome).select("node", "domain", "depth", "pos", "outcome")
+        taken = written(found.withColumn("outcome", outcome).select("node", "domain", "depth", "place", "outcome"), "crawl")
         seen = taken if seen is None else seen.unionByName(taken)
-        seen = seen.persist()
         if d == depth:
             break
-        # a place in the next level is the parent's place, then the link's
-        nxt = seen.where((F.col("depth") == d) & (F.col("outcome") == "fetched")).join(edges, "node").select(F.col("target").alias("node"), (F.col("pos") * 100_000 + F.col("nth")).alias("at"))
-        level = nxt.groupBy("node").agg(F.min("at").alias("pos")).join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d + 1))
-    return seen.select("node", "depth", "pos", "outcome")
+        fetched = taken.where("outcome = 'fetched'").select("node", "place")
+        nxt = fetched.join(edges, "node").select(F.col("target").alias("node"), F.concat("place", F.array(F.col("nth").cast("long"))).alias("place"))
+        level = nxt.groupBy("node").agg(F.min("place").alias("place")).join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d + 1))
+    return seen.select("node", "depth", "place", "outcome")
 
 
 def next_seeds(seeds: DataFrame, as_of: str, limit: int = BATCH, days: int = RECRAWL_DAYS) -> DataFrame:
@@ -82,7 +87,7 @@ def after_crawl(seeds: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
 
 def new_hubs(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """(url, parent): hubs among links (url, parent) that no seed has yet, each once, with the smallest parent."""
-    hubs = links.where(web.hub(F.col("url"), queued=True)).groupBy("url").agg(F.min("parent").alias("parent"))
+    hubs = links.where(web.hub(web.path_of(F.col("url")), web.domain_of(F.col("url")), queued=True) & F.rlike("url", F.lit("^https?://"))).groupBy("url").agg(F.min("parent").alias("parent"))
     return hubs.join(seeds.select("url"), "url", "left_anti")
 
 
@@ -100,7 +105,7 @@ def repaired(opportunities: DataFrame, status: DataFrame, sources: DataFrame) ->
     first = [F.min_by("source", "nth").alias("source"), F.min("nth").alias("nth")]
     names, domains = src.groupBy("name").agg(*first), src.groupBy("s_domain").agg(*first)
     providers = asked.select("p_name").distinct()
-    within = providers.join(F.broadcast(names), F.col("p_name").contains(F.col("name")) | F.col("name").contains(F.col("p_name")))  # distinct names only
+    within = providers.join(names, F.col("p_name").contains(F.col("name")) | F.col("name").contains(F.col("p_name")))  # distinct names only
     named = asked.join(within.withColumn("how", F.when(F.col("p_name") == F.col("name"), 0).otherwise(1)), "p_name")
     same = asked.join(domains, (asked.p_domain == domains.s_domain) & (F.col("p_domain") != "")).withColumn("how", F.lit(2))
     cols = ["p_name", "p_domain", "source", "nth", "how"]
@@ -110,3 +115,65 @@ def repaired(opportunities: DataFrame, status: DataFrame, sources: DataFrame) ->
     to_root, to_source = F.col("root_ok") & (F.col("root") != F.col("portal_url")), F.col("source_ok") & (F.col("source") != F.col("portal_url"))
     action = F.when(F.coalesce("is_archived", F.lit(False)), "already_archived").when(F.col("self_ok"), "ok").when(to_root, "root").when(to_source, "source").otherwise("archived")
     return checked.withColumn("action", action).withColumn("new_url", F.when(F.col("action") == "root", F.col("root")).when(F.col("action") == "source", F.col("source")).otherwise(F.col("portal_url")))
+
+
+def crawled_pages(pages: DataFrame, seeds: DataFrame, depth: int, cap: int) -> DataFrame:
+    """crawl() of pages (page_id, url, html) from seeds (url, pos) along the links that the crawl follows; an address without a page fails."""
+    own = pages.select("page_id", web.normal_url(F.col("url")).alias("node"), "url", "html").where("node is not null")
+    last = own.groupBy("node").agg(F.max_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("node", "p.*")
+    nodes = last.select("node", web.domain_of(F.col("node")).alias("domain"), F.lit(True).alias("ok"))
+    edges = page_links(last.select("page_id", "url", "html")).where("follow").join(last.select("page_id", "node"), "page_id").select("node", "nth", F.col("url").alias("target"))
+    return crawl(nodes, edges, seeds.select(web.normal_url(F.col("url")).alias("node"), "pos").where("node is not null"), depth, cap)
+
+
+def candidates(pages: DataFrame, taken: DataFrame, least: int = 2) -> DataFrame:
+    """(url, depth, place, title, relevance, state, metros): fetched pages of a crawl that are relevant and whose path is not excluded."""
+    last = pages.groupBy(web.normal_url(F.col("url")).alias("url")).agg(F.max_by("html", "page_id").alias("html"))
+    got = taken.where("outcome = 'fetched'").select(F.col("node").alias("url"), "depth", "place").join(last, "url")
+    scored = scored_pages(got.select("url", "depth", "place", "html", web.title_in(F.col("html")).alias("title"), web.text_in(F.col("html")).alias("text")))
+    path = web.path_of(F.col("url"))
+    fine = ~F.exists(strings(NEGATIVE_PATHS), lambda p: path.contains(p))
+    return scored.where((F.col("base") + F.col("regional") >= least) & fine).select("url", "depth", "place", "title", (F.col("base") + F.col("regional")).alias("relevance"), F.col("residency").alias("state"), "metros")
+
+
+def best_candidates(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """candidates() by relevance, falling, then in the crawl's order; the first limit of them, if it is above 0."""
+    ordered = found.orderBy(F.desc("relevance"), "depth", "place")
+    return ordered if not limit or limit < 0 else ordered.limit(limit)
+
+
+def crawl_outcomes(found: DataFrame, known: DataFrame, extracts: DataFrame) -> DataFrame:
+    """found with action: duplicate (an opportunity has the address), incomplete (its extract is), ingested; with the extract's or else the crawl's state and metros.
+
+    known: (portal_url); extracts: (url, complete, state, metros) as the extraction behind the boundary returned them.
+    """
+    there = known.select(F.col("portal_url").alias("url"), F.lit(True).alias("known")).distinct()
+    read = extracts.select("url", "complete", F.col("state").alias("x_state"), F.col("metros").alias("x_metros")).dropDuplicates(["url"])
+    both = found.join(there, "url", "left").join(read, "url", "left")
+    action = F.when(F.col("known"), "duplicate").when(F.coalesce("complete", F.lit(False)), "ingested").otherwise("incomplete")
+    filled = F.when(F.coalesce(F.size("x_metros") > 0, F.lit(False)), F.col("x_metros")).otherwise(F.col("metros"))
+    return both.select("url", "depth", "place", "title", "relevance", F.coalesce("x_state", "state").alias("state"), filled.alias("metros"), action.alias("action"))
+
+
+def crawl_stats(taken: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """One row of counters of a crawl and what became of its candidates."""
+    pages = taken.agg(F.count_if(F.col("outcome") == "fetched").alias("pages_crawled"), F.count_if(F.col("outcome") == "failed").alias("errors"), F.countDistinct(F.when(F.col("outcome") == "fetched", web.domain_of(F.col("node")))).alias("domains"))
+    done = outcomes.agg(F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("action") == k).alias(k) for k in ("ingested", "duplicate", "incomplete")])
+    return pages.join(done, how="cross")  # one row each
+
+
+def crawl_report(outcomes: DataFrame) -> DataFrame:
+    """(url, report): each candidate as a JSON object."""
+    return outcomes.select("url", F.to_json(F.struct("url", "title", "relevance", "state", "depth", "action")).alias("report"))
+
+
+def after_queue_run(seeds: DataFrame, batch: DataFrame, stats: DataFrame, hubs: DataFrame, as_of: str) -> DataFrame:
+    """seeds after a run over batch: all of it crawled, or failed if there were as many errors as seeds, and the new hubs queued.
+
+    One test decides for the whole batch, as in the reference. hubs: (url); those that are seeds already stay as they are.
+    """
+    n = batch.agg(F.count(F.lit(1)).alias("n_seeds"))
+    verdict = stats.select("errors").join(n, how="cross").select((F.col("errors") < F.col("n_seeds")).alias("success"))  # one row
+    marked = after_crawl(seeds, batch.select("url").join(verdict, how="cross"), as_of)
+    new = hubs.select("url").distinct().join(seeds.select("url"), "url", "left_anti").select("url", F.lit("queued").alias("status"), F.lit(0).alias("priority"), F.lit(0).alias("error_count"))
+    return marked.unionByName(new, allowMissingColumns=True)

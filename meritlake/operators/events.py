@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meritlake.functions.labels import strings
@@ -15,22 +15,52 @@ def subscriptions(events: DataFrame) -> DataFrame:
     """(user_id, tier, status, renewals, dunnings, ignored) after all billing events (user_id, at, seq, kind), in order.
 
     created: premium and active; deleted: free and canceled; paid: premium, active, a renewal; failed: a dunning mail, no
-    change; others are ignored.
+    change; others are ignored. The last event that changes anything decides, so that sums and one maximum for each user do.
     """
-    folded = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "kind"))).alias("events"))
-    start = F.struct(F.lit("free").alias("tier"), F.lit(None).cast("string").alias("status"), *[F.lit(0).cast("bigint").alias(c) for c in ("renewals", "dunnings", "ignored")])
+    kind, order = F.col("kind"), F.struct("at", "seq")
+    last = F.max_by("kind", F.when(kind.isin("created", "paid", "deleted"), order))
+    counts = [F.count_if(kind == "paid").alias("renewals"), F.count_if(kind == "failed").alias("dunnings"), F.count_if(~kind.isin("created", "paid", "deleted", "failed")).alias("ignored")]
+    each = events.groupBy("user_id").agg(last.alias("last"), *counts)
+    return each.select(
+        "user_id", F.when(F.col("last").isin("created", "paid"), "premium").otherwise("free").alias("tier"),
+        F.when(F.col("last") == "deleted", "canceled").when(F.col("last").isNotNull(), "active").alias("status"), "renewals", "dunnings", "ignored",
+    )
+
 
-    def step(s: Column, e: Column) -> Column:
-        kind = e["kind"]
-        up = kind.isin("created", "paid")
-        one = lambda c, k: (s[c] + F.when(k, 1).otherwise(0)).cast("bigint").alias(c)
-        return F.struct(
-            F.when(up, "premium").when(kind == "deleted", "free").otherwise(s["tier"]).alias("tier"),
-            F.when(up, "active").when(kind == "deleted", "canceled").otherwise(s["status"]).alias("status"),
-            one("renewals", kind == "paid"), one("dunnings", kind == "failed"), one("ignored", ~kind.isin("created", "paid", "deleted", "failed")),
-        )
+def billed(profiles: DataFrame, events: DataFrame) -> DataFrame:
+    """(seq, user_id, outcome, status) of billing events (seq, kind, meta_user, customer, subscription, state, reason).
 
-    return folded.select("user_id", F.aggregate("events", start, step).alias("s")).select("user_id", "s.*")
+    An event is that of the user it names, else of the customer's, else (deleted only) of the subscription's; created
+    events tell whose customer and subscription are, before later ones. A customer belongs to one user, the first. Outcomes:
+    updated, renewed (cycle invoices only), downgraded, dunning_sent, no_profile, ignored. profiles: (user_id, customer).
+    """
+    users = profiles.select(F.col("user_id").alias("meta_user"), F.lit(True).alias("named"))
+    ours = events.join(users, "meta_user", "left").withColumn("named", F.coalesce("named", F.lit(False)))
+    made = ours.where("kind = 'created' and named")
+    first = lambda rows, key: rows.where(f"{key} is not null").groupBy(key).agg(F.min_by("owner", "since").alias(f"{key}_owner"), F.min("since").alias(f"{key}_since"))
+    start = profiles.select("customer", F.col("user_id").alias("owner"), F.lit(-1).cast("long").alias("since"))
+    customers = first(start.unionByName(made.select("customer", F.col("meta_user").alias("owner"), F.col("seq").alias("since"))), "customer")
+    subs = first(made.select("subscription", F.col("meta_user").alias("owner"), F.col("seq").alias("since")), "subscription")
+    found = ours.join(customers, "customer", "left").join(subs, "subscription", "left")
+    kind = F.col("kind")
+    by_customer = F.when(F.col("customer_since") < F.col("seq"), F.col("customer_owner"))
+    by_sub = F.when((kind == "deleted") & (F.col("subscription_since") < F.col("seq")), F.col("subscription_owner"))
+    user = F.coalesce(F.when((kind == "created") & F.col("named"), F.col("meta_user")), by_customer, by_sub)
+    skipped = ~kind.isin("created", "deleted", "paid", "failed") | ((kind == "paid") & (F.coalesce("reason", F.lit("")) != "subscription_cycle"))
+    outcome = F.when(skipped, "ignored").when(user.isNull(), "no_profile").when(kind == "created", "updated").when(kind == "deleted", "downgraded").when(kind == "paid", "renewed").otherwise("dunning_sent")
+    status = F.when(kind == "created", F.col("state")).when(kind == "deleted", "canceled").when(kind == "paid", "active")
+    return found.select("seq", F.when(~skipped, user).alias("user_id"), outcome.alias("outcome"), F.when(~skipped & user.isNotNull(), status).alias("status"))
+
+
+def billed_profiles(billed_events: DataFrame) -> DataFrame:
+    """(user_id, tier, status, n_events): what all of a user's billed events leave; created counts as premium only if active or trialing."""
+    e = billed_events.where("user_id is not null")
+    tier = F.when((F.col("outcome") == "renewed") | ((F.col("outcome") == "updated") & F.col("status").isin("active", "trialing")), "premium").when(F.col("outcome") == "downgraded", "free")
+    named = e.withColumn("tier", tier)
+    return named.groupBy("user_id").agg(
+        F.coalesce(F.max_by("tier", F.when(F.col("tier").isNotNull(), F.col("seq"))), F.lit("free")).alias("tier"),
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("seq"))).alias("status"), F.count(F.lit(1)).alias("n_events"),
+    )
 
 
 def refused(message: Column) -> Column:
@@ -54,7 +84,8 @@ def conversations(turns: DataFrame, most: int = MAX_TURNS) -> DataFrame:
     A conversation counts most turns, refused ones too; with the last of them it is escalated for good, and later turns
     count nowhere. The summary has the first 500 characters of the turns that counted.
     """
-    said = turns.groupBy("conv_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))), 1, most).alias("said"))
+    first = turns.withColumn("nth", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where(F.col("nth") <= most)  # before they are gathered
+    said = first.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("said"))
     texts = F.transform("said", lambda t: t["text"])
     return said.select(
         "conv_id", F.size("said").cast("long").alias("turn_count"), (F.size("said") >= most).alias("is_escalated"),

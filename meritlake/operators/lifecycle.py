@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meritlake.functions.display import first_name
 from meritlake.operators.exports import money
 
 WINDOW_DAYS, LOOKBACK_DAYS = 14, 30
@@ -61,3 +62,23 @@ def reengagement_digest(profiles: DataFrame, opportunities: DataFrame, as_of: st
     users = profiles.where("marketing_opt_in and email is not null and tier = 'free'").select("user_id", "email", F.coalesce("primary_discipline", F.lit("*")).alias("discipline"))
     subject = F.concat(F.col("n_new").cast("string"), F.when(F.col("n_new") == 1, " new scholarship").otherwise(" new scholarships"), F.lit(" worth "), money(F.col("total")))
     return users.join(listed.unionByName(every), "discipline").where("n_new > 0").select("user_id", "email", "n_new", "total", subject.alias("subject"))
+
+
+def receipt_text(first: Column, amount: Column, plan: Column) -> Column:
+    """A receipt for first name, shown amount (may be null) and plan."""
+    return F.concat(F.lit("Hi "), first, F.lit(",\n\nThank you for your payment"), F.when(amount.isNotNull(), F.concat(F.lit(" of "), amount)).otherwise(""), F.lit(" for "), plan, F.lit(".\n"))
+
+
+def reengagement_mails(profiles: DataFrame, opportunities: DataFrame, as_of: str, days: int = LOOKBACK_DAYS) -> DataFrame:
+    """(user_id, n_new, total, subject, body, html): a mail for each free user who opted in; without anything new a shorter one."""
+    users = profiles.where("marketing_opt_in and email is not null and tier = 'free'").select("user_id", "full_name")
+    found = users.join(reengagement_digest(profiles, opportunities, as_of, days).select("user_id", "n_new", "total"), "user_id", "left").withColumns({"n_new": F.coalesce("n_new", F.lit(0)), "total": F.coalesce("total", F.lit(0))})
+    n, worth, first, none = F.col("n_new").cast("string"), money(F.col("total")), first_name(F.col("full_name")), F.col("n_new") == 0
+    soon = "We're constantly indexing new scholarships for clinical health students. Check back soon for fresh opportunities matched to your discipline."
+    news = lambda a, b: F.concat(F.lit(f"Update: {a}"), n, F.lit(f" new scholarships{b} ({a}"), worth, F.lit(f" total{b}) were just indexed for your discipline!"))
+    text = F.when(none, soon).otherwise(F.concat(news("", ""), F.lit("\n\nLog in to see your fresh matches and start applying.")))
+    html = F.when(none, f"<p>{soon}</p>").otherwise(F.concat(F.lit("<p>"), news("<strong>", "</strong>"), F.lit("</p><p>Log in to see your fresh matches and start applying.</p>")))
+    return found.select(
+        "user_id", "n_new", "total", F.when(none, "New scholarships coming soon").otherwise(F.concat(F.lit("Update: "), n, F.lit(" new scholarships ("), worth, F.lit(" total) for your discipline!"))).alias("subject"),
+        F.concat(F.lit("Hi "), first, F.lit(",\n\n"), text, F.lit("\n")).alias("body"), F.concat(F.lit("<html><body><p>Hi "), first, F.lit(",</p>"), html, F.lit("</body></html>")).alias("html"),
+    )

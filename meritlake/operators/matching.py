@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meritlake.functions.checks import opt_float, str_list
 from meritlake.functions.labels import discipline_of, filled, level_of, lowered, metro_of, strings
+from meritlake.sources.tables import written
 
 POINTS, LOCAL_POINTS = 25, 10
 
@@ -124,28 +126,118 @@ def with_messages(scored: DataFrame) -> DataFrame:
     return scored.withColumn("messages", F.array_union(missing, F.array_compact(notices)))
 
 
-def eligible_pairs(profiles: DataFrame, opportunities: DataFrame) -> DataFrame:
-    """All pairs of ready profiles and opportunities that pass the gates.
+#: What depends on labels alone, by name: columns of profiles, columns of opportunities, the test.
+RELATIONS = {
+    "gate": (["u_disciplines", "u_credentials", "u_level"], ["o_disciplines", "o_credentials", "o_levels"], lambda: discipline_gate() & credential_gate() & level_gate()),
+    "place": (["u_state", "u_metro"], ["o_states", "o_metros"], _place),
+    "group": (["u_affiliations", "u_tags"], ["o_required", "o_tags"], _belongs),
+}
+
+
+def coded(profiles: DataFrame, opportunities: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """Ready profiles and opportunities with labels as numbers: (user_id, u_gpa, u_sai, place_ok, group_ok, gates, *keep), (gate, opp_id, award, min_gpa, max_sai, place, group, low).
 
-    The discipline gate is an equi-join: an opportunity is listed under its disciplines, or * without any, and under **;
-    a profile asks for its disciplines and *, or for ** without any. A pair counts under its first common key alone.
+    Each relation numbers the combinations of labels that opportunities have; a profile has, by number, whether the test
+    holds. Only distinct combinations are compared with each other; vocabularies bound them, not rows.
     """
-    listed = F.concat(F.when(F.size("o_disciplines") == 0, strings(["*"])).otherwise(F.array_distinct("o_disciplines")), strings(["**"]))
-    asked = F.when(F.size("u_disciplines") == 0, strings(["**"])).otherwise(F.concat(F.array_distinct("u_disciplines"), strings(["*"])))
-    o = opportunities.withColumn("o_keys", listed).withColumn("key", F.explode("o_keys"))
-    u = profiles.withColumn("u_keys", asked).withColumn("key", F.explode("u_keys"))
-    pairs = u.join(o, "key").where(F.get(F.array_intersect("o_keys", "u_keys"), F.lit(0)) == F.col("key"))
-    return pairs.where(credential_gate() & level_gate()).drop("key", "o_keys", "u_keys")
+    u = profiles.withColumns({f"{name}_u": F.to_json(F.struct(*cols)) for name, (cols, _, _) in RELATIONS.items()})
+    o = opportunities.withColumns({f"{name}_o": F.to_json(F.struct(*cols)) for name, (_, cols, _) in RELATIONS.items()})
+    users, offered = u.drop(*{c for cols, _, _ in RELATIONS.values() for c in cols}), o.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *[f"{name}_o" for name in RELATIONS])
+    for name, (u_cols, o_cols, met) in RELATIONS.items():
+        numbered = o.select(f"{name}_o", *o_cols).dropDuplicates([f"{name}_o"]).withColumn(name, F.row_number().over(Window.orderBy(f"{name}_o")) - 1)
+        asked = u.select(f"{name}_u", *u_cols).dropDuplicates([f"{name}_u"])
+        tested = asked.join(numbered, how="cross").select(f"{name}_u", F.struct(name, F.coalesce(met(), F.lit(False)).alias("ok")).alias("t"))
+        ok = tested.groupBy(f"{name}_u").agg(F.array_sort(F.collect_list("t")).alias("all")).select(f"{name}_u", F.transform("all", lambda t: t["ok"]).alias(f"{name}_ok"))
+        users, offered = users.join(ok, f"{name}_u", "left").drop(f"{name}_u"), offered.join(numbered.select(f"{name}_o", name), f"{name}_o").drop(f"{name}_o")
+    return users.select("user_id", "u_gpa", "u_sai", "place_ok", "group_ok", F.expr("filter(transform(gate_ok, (ok, k) -> if(ok, k, null)), k -> k is not null)").alias("gates"), *keep), offered
+
+
+def coded_pairs(users: DataFrame, offered: DataFrame, *keep: str) -> DataFrame:
+    """(user_id, opp_id, award, score, *keep): all pairs of coded() profiles and opportunities that pass the gates.
+
+    A pair costs an equi-join on its gate's number, two look-ups and two comparisons. Profiles are dealt by user_id, which
+    the join keeps where opportunities are broadcast (left to Spark, by their size); beyond that, adaptive execution
+    splits what shares a number.
+    """
+    parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = users.select("user_id", "u_gpa", "u_sai", "place_ok", "group_ok", *keep, "gates").repartition(parts, "user_id").withColumn("gate", F.explode("gates")).drop("gates")
+    there = F.get("place_ok", F.col("place"))
+    points = lambda met, n: F.when(met, n).otherwise(0)
+    score = F.least(F.lit(100), points(_gpa(), POINTS) + points(_sai(), POINTS) + points(F.get("group_ok", F.col("group")), POINTS) + points(there, F.when(F.col("low"), POINTS + LOCAL_POINTS).otherwise(POINTS)))
+    return asked.join(offered, "gate").select("user_id", "opp_id", "award", score.alias("score"), *keep)
 
 
-def ranked_feed(profiles: DataFrame, opportunities: DataFrame, dismissed: DataFrame | None = None, top: int | None = None) -> DataFrame:
-    """Eligible pairs with rank in each profile's feed: by score, then award, both falling, then opp_id.
+def eligible_pairs(profiles: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(user_id, opp_id, award, score): all pairs of ready profiles and opportunities that pass the gates."""
+    return coded_pairs(*coded(profiles, opportunities))
+
+
+def _least_scores(pairs: DataFrame, wanted: Column) -> DataFrame:
+    """(user_id, least): the highest score such that wanted pairs of the user at least have it or more; else the lowest."""
+    counts = pairs.groupBy("user_id", "score").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
+    above = F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("score")))
+    reached = F.max(F.when(F.col("above") >= wanted, F.col("score")))
+    return counts.withColumn("above", above).groupBy("user_id").agg(F.coalesce(reached, F.min("score")).alias("least"))
+
 
-    dismissed: (user_id, opp_id) pairs to leave out. top: the length of a feed, if it is limited.
+def ranked_pairs(profiles: DataFrame, opportunities: DataFrame, dismissed: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """(user_id, opp_id, award, score, rank): each profile's feed by score, then award, both falling, then opp_id.
+
+    dismissed: (user_id, opp_id) pairs to leave out. top: the length of a feed, if it is limited; then pairs are first
+    counted by score, so that only those that can be among the top are sorted.
     """
-    pairs = eligible_pairs(ready_profiles(profiles), ready_opportunities(opportunities))
+    u, o = ready_profiles(profiles), ready_opportunities(opportunities)
+    if top is None:
+        pairs = eligible_pairs(u, o)
+    else:
+        users, offered = (written(df, "coded") for df in coded(u, o))  # both are read twice
+        wanted = users.withColumn("wanted", F.lit(top))
+        if dismissed is not None:  # as many more as may be left out
+            gone = dismissed.select("user_id", "opp_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("gone"))
+            wanted = users.join(gone, "user_id", "left").withColumn("wanted", top + F.coalesce("gone", F.lit(0))).drop("gone")
+        least = _least_scores(coded_pairs(wanted, offered, "wanted"), F.col("wanted"))
+        pairs = coded_pairs(users.join(least, "user_id"), offered, "least").where("score >= least").drop("least")
     if dismissed is not None:
-        pairs = pairs.join(dismissed.select("user_id", "opp_id"), ["user_id", "opp_id"], "left_anti")
+        pairs = pairs.join(dismissed.select("user_id", "opp_id").distinct(), ["user_id", "opp_id"], "left_anti")
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc(F.coalesce("award", F.lit(0))), "opp_id")
-    ranked = with_scores(pairs).withColumn("rank", F.row_number().over(order))
-    return with_messages(ranked if top is None else ranked.where(F.col("rank") <= top))
+    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
+
+
+def ranked_feed(profiles: DataFrame, opportunities: DataFrame, dismissed: DataFrame | None = None, top: int | None = None) -> DataFrame:
+    """ranked_pairs with all columns of profile and opportunity, points and messages."""
+    ranked = ranked_pairs(profiles, opportunities, dismissed, top).select("user_id", "opp_id", "rank")
+    return with_messages(with_scores(ranked.join(ready_opportunities(opportunities), "opp_id").join(ready_profiles(profiles), "user_id")))
+
+
+def holds_word(word: str) -> Column:
+    """Whether title, provider or a message of a scored pair holds word in any case; percent signs and underscores are themselves."""
+    low = word.lower()
+    return F.lower("title").contains(low) | F.lower("provider").contains(low) | F.exists("messages", lambda m: F.lower(m).contains(low))
+
+
+def records(scored: DataFrame) -> DataFrame:
+    """Scored pairs with messages as result records: missing values as their defaults, 0 as no least GPA or largest SAI, points as a map."""
+    kinds = ("gpa", "geo", "sai", "affiliation", "local")
+    points = F.map_from_arrays(strings(list(kinds)), F.array(*[F.col(f"{k}_points") for k in kinds]))
+    return scored.select(
+        "user_id", "opp_id", "title", "provider", "portal_url", F.coalesce("award", F.lit(0)).alias("award_amount"), F.coalesce(F.col("deadline").cast("string"), F.lit("")).alias("deadline"), "score", F.col("messages").alias("missing_criteria"),
+        opt_float(F.col("min_gpa")).alias("min_gpa"), opt_float(F.col("max_sai")).alias("max_sai"), str_list(F.col("states")).alias("state_restrictions"), str_list(F.col("metros")).alias("metro_restrictions"),
+        F.col("o_disciplines").alias("eligible_disciplines"), F.col("o_credentials").alias("eligible_credentials"), F.coalesce("has_service_commitment", F.lit(False)).alias("has_service_commitment"),
+        F.coalesce("employment_required", F.lit(False)).alias("employment_required"), points.alias("score_breakdown"),
+    )
+
+
+#: What a profile may hold, for forms that leave most of it out.
+FORM = {
+    "disciplines": "array<string>", "primary_discipline": "string", "target_credentials": "array<string>", "target_credential": "string", "clinical_phase": "string", "gpa": "double", "state": "string", "metro": "string",
+    "sai": "int", "affiliations": "array<string>", "first_gen": "boolean", "minority": "boolean", "tier": "string",
+}
+
+
+def preview(forms: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(user_id, projected_count, projected_funding_total) for partly filled profiles; opportunities without an archive flag do not count."""
+    whole = forms.select("user_id", *[F.col(c) if c in forms.columns else F.lit(None).cast(kind).alias(c) for c, kind in FORM.items()])
+    pairs = eligible_pairs(ready_profiles(whole), ready_opportunities(opportunities.where("not is_archived")))
+    counted = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("award", F.lit(0))).cast("long").alias("total"))
+    return forms.select("user_id").join(counted, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("projected_count"), F.coalesce("total", F.lit(0)).alias("projected_funding_total"))

@@ -57,3 +57,29 @@ def quota(searches: DataFrame, limit: int = SEARCHES, days: int = CYCLE_DAYS) ->
 
     end = events.select("user_id", F.aggregate("events", start, step).alias("s"))
     return end.select("user_id", F.timestamp_micros("s.start").alias("cycle_start"), "s.used", "s.allowed", "s.blocked")
+
+
+def feed_totals(feed: DataFrame, visible: int = VISIBLE) -> DataFrame:
+    """(user_id, total, visible, worth, best): a filtered feed's rows before gating, those that stay unlocked, their awards and best score."""
+    each = feed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.first("u_tier").alias("tier"), F.sum(F.coalesce("award", F.lit(0))).cast("long").alias("worth"), F.max("score").alias("best"))
+    return each.select("user_id", "total", F.when(F.col("tier") == "premium", F.col("total")).otherwise(F.least("total", F.lit(visible))).alias("visible"), "worth", "best")
+
+
+def tracking_limits(trackings: DataFrame, profiles: DataFrame, most: int = VISIBLE) -> DataFrame:
+    """(user_id, n_active, at_limit): trackings that are not archived; premium users are never at the limit."""
+    active = trackings.groupBy("user_id").agg(F.count_if(F.col("status") != "archived").alias("n_active"))
+    joined = profiles.select("user_id", "tier").join(active, "user_id", "left").withColumn("n_active", F.coalesce("n_active", F.lit(0)))
+    return joined.select("user_id", "n_active", ((F.col("tier") != "premium") & (F.col("n_active") >= most)).alias("at_limit"))
+
+
+def counted_searches(searches: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The searches that are debited: with a keyword, by users who are not premium."""
+    return searches.where("keyword").join(profiles.where("tier <> 'premium'").select("user_id"), "user_id", "left_semi")
+
+
+def usage(states: DataFrame, now: Column, limit: int = SEARCHES, days: int = CYCLE_DAYS) -> DataFrame:
+    """(user_id, used, remaining, resets_at) as shown at now: a cycle that is over begins anew with the look."""
+    span = F.expr(f"interval {days} days")
+    over = now >= F.col("cycle_start") + span
+    used = F.when(over, F.lit(0).cast("long")).otherwise(F.col("used"))
+    return states.select("user_id", used.alias("used"), (F.lit(limit) - used).alias("remaining"), (F.when(over, now).otherwise(F.col("cycle_start")) + span).alias("resets_at"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,46 @@ def without_users(tables: dict[str, DataFrame], users: DataFrame, key: str = "us
     """Each table without the rows of users."""
     gone = users.select(key).distinct()
     return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
+
+
+def inserted(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with rows added; columns that rows do not have are null."""
+    return current.unionByName(rows, allowMissingColumns=True)
+
+
+def insert_unseen(current: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+    """All rows of incoming whose key the table does not have, equal keys within incoming each."""
+    return incoming.join(current.select(key).distinct(), key, "left_anti")
+
+
+def patched(current: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The table after changes (key, fields map<string, string>) that set exactly the fields they name, to null as well; unknown keys change nothing."""
+    out = current.join(changes.select(key, "fields"), key, "left")
+    kinds = dict(current.dtypes)
+    named = lambda c: F.coalesce(F.map_contains_key("fields", F.lit(c)), F.lit(False))
+    return out.select(*[F.col(c) if c == key else F.when(named(c), F.try_element_at("fields", F.lit(c)).cast(kinds[c])).otherwise(F.col(c)).alias(c) for c in current.columns])
+
+
+def dismissals(trackings: DataFrame, requests: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(user_id, opp_id, is_dismissed, n_dismissed, n_restored, n_not_found) after requests (user_id, opp_id, seq, dismiss) in order of seq.
+
+    A dismissal of an opportunity that there is makes or changes the tracking; of another it is not found. What undoes a
+    dismissal that is not there is not found either. Whether one is there depends on the request before alone.
+    """
+    known = requests.join(opportunities.select("opp_id", F.lit(True).alias("known")), "opp_id", "left")
+    before = trackings.select("user_id", "opp_id", F.col("is_dismissed").alias("was"))
+    turn = Window.partitionBy("user_id", "opp_id").orderBy("seq")
+    asked = known.where("dismiss and not coalesce(known, false)").select("user_id", "opp_id", F.lit(None).cast("boolean").alias("now"), F.lit("not_found").alias("outcome"), "seq")
+    # a request that is found leaves is_dismissed as it says, and one that is not leaves it false, as it was
+    steps = known.where("known or not dismiss").join(before, ["user_id", "opp_id"], "left").withColumn("was", F.coalesce(F.lag("dismiss").over(turn), "was", F.lit(False)))
+    done = steps.select("user_id", "opp_id", F.col("dismiss").alias("now"), F.when(F.col("dismiss"), "dismissed").when(F.col("was"), "restored").otherwise("not_found").alias("outcome"), "seq")
+    each = done.unionByName(asked).groupBy("user_id", "opp_id").agg(
+        F.max_by("now", F.when(F.col("outcome") != "not_found", F.col("seq"))).alias("now"), *[F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in ("dismissed", "restored", "not_found")]
+    )
+    both = before.join(each, ["user_id", "opp_id"], "full_outer")
+    return both.select("user_id", "opp_id", F.coalesce("now", "was").alias("is_dismissed"), *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("dismissed", "restored", "not_found")])
+
+
+def deleted(trackings: DataFrame, requests: DataFrame) -> DataFrame:
+    """trackings without those of requests (user_id, opp_id); a request by another user removes nothing."""
+    return trackings.join(requests.select("user_id", "opp_id").distinct(), ["user_id", "opp_id"], "left_anti")

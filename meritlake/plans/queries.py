@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +12,7 @@ from meritlake.operators import crawling, events, exports, ingesting, lifecycle,
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
 from meritlake.sources import readers
+from meritlake.sources.tables import folder
 from meritlake.streaming import quota as stream
 
 FEED = 10
@@ -26,13 +25,13 @@ def _tracked(spark: SparkSession, sf: str) -> DataFrame:
 
 def match_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The best opportunities of each profile."""
-    feed = matching.ranked_feed(d.profiles(spark, sf), d.opportunities(spark, sf), top=FEED)
+    feed = matching.ranked_pairs(d.profiles(spark, sf), d.opportunities(spark, sf), top=FEED)
     return feed.select("user_id", "rank", "opp_id", "score", "award")
 
 
 def whole_feed(spark: SparkSession, sf: str) -> DataFrame:
     """All eligible opportunities of each profile, ranked."""
-    return matching.ranked_feed(d.profiles(spark, sf), d.opportunities(spark, sf)).select("user_id", "rank", "opp_id", "score", "award")
+    return matching.ranked_pairs(d.profiles(spark, sf), d.opportunities(spark, sf)).select("user_id", "rank", "opp_id", "score", "award")
 
 
 def score_tracked(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,7 +58,7 @@ def whole_tiered_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_totals(spark: SparkSession, sf: str) -> DataFrame:
     """How many opportunities a profile may have, what they are worth, and its best score."""
-    feed = matching.with_scores(matching.eligible_pairs(matching.ready_profiles(d.profiles(spark, sf)), matching.ready_opportunities(d.opportunities(spark, sf))))
+    feed = matching.eligible_pairs(matching.ready_profiles(d.profiles(spark, sf)), matching.ready_opportunities(d.opportunities(spark, sf)))
     return feed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("award").cast("long").alias("total"), F.max("score").alias("best"), F.count_if(F.col("score") >= 100).alias("perfect"))
 
 
@@ -186,13 +185,14 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
     targets = [F.col("node") * 2 + 1, F.col("node") * 3 + 2, F.col("node") * 7 + 5, F.col("node") + 1, *[F.col("node") * 11 + k for k in range(6)]]
     edges = pages.select("node", F.posexplode(F.array(*[t % n for t in targets])).alias("nth", "target"))
     seeds = pages.where("node % 3 = 0").select("node", F.col("node").alias("pos"))
-    return crawling.crawl(pages, edges, seeds, depth=3, cap=15)
+    taken = crawling.crawl(pages, edges, seeds, depth=3, cap=15)
+    return taken.select("node", "depth", F.array_join(F.col("place").cast("array<string>"), ",").alias("place"), "outcome")
 
 
 def repair_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Link checks of opportunities, with all suppliers as the registry of sources, under the names of the 25 brands."""
     opps = d.opportunities(spark, sf).select("opp_id", "provider", "portal_url", "is_archived")
-    roots = opps.select(web.root_of(F.col("portal_url")).alias("url")).distinct().where("crc32(url) % 3 = 0")
+    roots = opps.select(web.root_of(F.col("portal_url")).alias("url")).distinct().where("cast(regexp_extract(url, 'brand([0-9]+)', 1) as int) % 3 = 0")
     sources = d.table(spark, sf, "supplier").select(F.concat(F.lit("brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example.net/")).alias("url"), F.col("s_suppkey").alias("nth"))
     alive = opps.where("opp_id % 4 <> 0").select(F.col("portal_url").alias("url")).unionByName(roots).unionByName(sources.where("nth % 2 = 0").select("url"))
     return crawling.repaired(opps, alive.withColumn("code", F.lit(200)), sources).select("opp_id", "action", "new_url")
@@ -226,7 +226,7 @@ def fill_profiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def subscriptions(spark: SparkSession, sf: str) -> DataFrame:
-    """Signups, purchases, errors and clicks as billing events."""
+    """Signups, purchases, errors and clicks as billing events."""
     kinds = labels.lookup({"signup": "created", "purchase": "paid", "error": "failed", "click": "deleted"})
     billing = d.table(spark, sf, "events").select("user_id", F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.col("event_type")).alias("kind"))
     return events.subscriptions(billing)
@@ -252,7 +252,7 @@ def deadlines_by_day(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parsed_fields(spark: SparkSession, sf: str) -> DataFrame:
-    """Amounts, dates, lists and labels from texts that parts make."""
+    """Amounts, dates, lists and labels from texts that parts make."""
     texts = d.table(spark, sf, "part").selectExpr(
         "p_partkey as id",
         "case p_partkey % 5 when 0 then concat('Up to $', format_number(floor(p_retailprice), 0), ' per year') when 1 then concat('  ', floor(p_retailprice), ' x 4') when 2 then 'varies' when 3 then concat('€', p_retailprice) end as amount",
@@ -267,17 +267,17 @@ def parsed_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
     """B01 as a stream: events read as a stream to their end, one state a user; the last state of each."""
-    folder = tempfile.mkdtemp(prefix="meritlake-") if not (shared := spark.conf.get("spark.checkpoint.dir", None)) else f"{shared.rstrip('/')}/quota-{uuid.uuid4().hex}"
+    states = folder(spark, "quota")
     path = f"{sf}/events.parquet"
     source = spark.readStream.schema(spark.read.parquet(path).schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "events*.parquet").parquet(sf)
     searches = source.select("user_id", F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"))
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/states")
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{states}/states")
 
-    run = stream.quota_stream(searches).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    run = stream.quota_stream(searches).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{states}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    last = spark.read.parquet(f"{folder}/states").groupBy("user_id").agg(F.max_by(F.struct("cycle_start", "used", "allowed", "blocked"), "batch").alias("s"))
+    last = spark.read.parquet(f"{states}/states").groupBy("user_id").agg(F.max_by(F.struct("cycle_start", "used", "allowed", "blocked"), "batch").alias("s"))
     return last.select("user_id", F.date_format("s.cycle_start", "yyyy-MM-dd HH:mm:ss").alias("cycle_start"), "s.used", "s.allowed", "s.blocked")
 
 
@@ -308,7 +308,7 @@ def profile_strength(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def unrendered_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Each page's address as fetched, and whether its html needs a browser."""
+    """Each page's address as fetched, and whether its html needs a browser."""
     pages = d.table(spark, sf, "pages")
     got = readers.fetched(pages.select(parsing.clean(F.col("url")).alias("url")).distinct(), pages)
     return got.select("url", "ok", readers.unrendered(F.col("html"), ["track(", "__NEXT_DATA__"]).alias("unrendered"))
@@ -325,8 +325,7 @@ def keyword_feed(spark: SparkSession, sf: str) -> DataFrame:
     """tracked pairs whose title, provider or messages hold a word, in any case; percent signs and underscores are themselves."""
     pairs = d.trackings(spark, sf).select("user_id", "opp_id").join(matching.ready_profiles(d.profiles(spark, sf)), "user_id").join(matching.ready_opportunities(d.opportunities(spark, sf)), "opp_id")
     scored = matching.with_messages(matching.with_scores(pairs))
-    hit = F.lower("title").contains("ring") | F.lower("provider").contains("ring") | F.exists("messages", lambda m: F.lower(m).contains("ring"))
-    return scored.where(hit).groupBy("opp_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
+    return scored.where(matching.holds_word("ring")).groupBy("opp_id").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("best"))
 
 
 QUERIES |= {"M05_profile_strength": profile_strength, "S10_unrendered_pages": unrendered_pages, "O07_upcoming": upcoming, "F09_keyword_feed": keyword_feed}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 
@@ -9,11 +10,14 @@ import duckdb
 import pytest
 
 from meritlake.plans.oracle import ORACLE
+from meritlake.plans.oracle_more import ORACLE_MORE
 from meritlake.plans.oracle_web import ORACLE_WEB
-from meritlake.plans.queries import QUERIES
+from meritlake.plans.queries import QUERIES as FIRST
+from meritlake.plans.queries_more import QUERIES_MORE
 
 SF = "/root/testdata/sf0.001"
-SQL = ORACLE | ORACLE_WEB
+SQL = ORACLE | ORACLE_WEB | ORACLE_MORE
+QUERIES = FIRST | QUERIES_MORE
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -43,7 +47,14 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_every_query_has_sql_or_a_test_of_its_own():
-    assert set(QUERIES) - set(SQL) == {"C12_crawl", "C17_repair_urls"}
+    assert set(QUERIES) - set(SQL) == {"K14_crawl_report"}
+
+
+def test_crawl_report_has_the_best_candidates(spark):
+    best = sorted(QUERIES["C11_crawl_run"](spark, SF).select("url", "title", "relevance", "action").collect(), key=lambda r: -r["relevance"])
+    got = [json.loads(r["report"]) for r in QUERIES["K14_crawl_report"](spark, SF).collect()]
+    assert [x["relevance"] for x in got] == [r["relevance"] for r in best[:20]]
+    assert {(x["url"], x["title"], x["action"]) for x in got} <= {(r["url"], r["title"], r["action"]) for r in best}
 
 
 def test_whole_feeds_go_on_past_the_tenth(spark):
