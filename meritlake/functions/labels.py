@@ -68,11 +68,17 @@ def metro_code(slug: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup({m[0]: m[2] for m in METROS}), slug), F.lit(""))
 
 
-def terms_in(text: Column, terms: list[str], whole: bool = False) -> Column:
-    """Places in terms, rising, of those that a text holds in any case; whole: as whole words only.
+def terms_in(text: Column, terms: list[str]) -> Column:
+    """Places in terms, rising, of those that a text holds in any case, even within other words. The text is put in lower case once."""
+    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
+    return F.transform(low, lambda x: F.array_compact(F.array(*[F.when(x.contains(t), F.lit(n)) for n, t in enumerate(terms)])))[0]
 
-    One pass: at each place of the text the longest term that stands there is found, and it stands for those it begins
-    with.
+
+def words_in(text: Column, terms: list[str]) -> Column:
+    """Places in terms, rising, of those that a text holds in any case as whole words.
+
+    One pass: at each place where a word begins the longest term that stands there is found, and it stands for those it
+    begins with.
     """
     safe = lambda t: re.sub(r"([.*+?()|\[\]{}^$\\])", r"\\\1", t)
     by_letter: dict[str, list[str]] = {}
@@ -80,10 +86,9 @@ def terms_in(text: Column, terms: list[str], whole: bool = False) -> Column:
         by_letter.setdefault(t[0], []).append(safe(t[1:]))
     any_term = "|".join(f"{safe(k)}(?:{'|'.join(rest)})" for k, rest in by_letter.items())
     edge = r"[a-z'\-]"
-    ends = lambda t, k: not whole or k == len(t) or not re.match(edge, t[k])
+    ends = lambda t, k: k == len(t) or not re.match(edge, t[k])
     held = {t: F.array(*[F.lit(n) for n, x in enumerate(terms) if t.startswith(x) and ends(t, len(x))]) for t in dict.fromkeys(terms)}
-    pattern = f"(?<!{edge})(?=({any_term})(?!{edge}))" if whole else f"(?=({any_term}))"
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(1)))
+    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{edge})(?=({any_term})(?!{edge}))"), F.lit(1)))
     known = F.create_map(*[x for t, places in held.items() for x in (F.lit(t), places)])
     return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda t: F.element_at(known, t)))))
 
@@ -119,4 +124,4 @@ def metros_in(text: Column) -> Column:
     words, counties = metro_terms()
     named = [*words.items(), *counties.items()]
     areas = strings([slug for _, slug in named])
-    return F.array_distinct(F.transform(terms_in(text, [t for t, _ in named], whole=True), lambda n: F.get(areas, n)))
+    return F.array_distinct(F.transform(words_in(text, [t for t, _ in named]), lambda n: F.get(areas, n)))

@@ -75,4 +75,5 @@ def residency(text: Column) -> Column:
     low = F.lower(text)
     named = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in STATE_NAMES])
     coded = F.coalesce(*[F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in STATE_CODES])
-    return F.coalesce(F.when(named == "ohio", "OH").when(named == "pennsylvania", "PA"), F.upper(coded))
+    said = F.coalesce(F.when(named == "ohio", "OH").when(named == "pennsylvania", "PA"), F.upper(coded))
+    return F.when(low.contains("resid") | low.contains("living"), said)  # all patterns have one of them

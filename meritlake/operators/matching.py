@@ -140,12 +140,14 @@ def coded(profiles: DataFrame, opportunities: DataFrame, *keep: str) -> tuple[Da
     Each relation numbers the combinations of labels that opportunities have; a profile has, by number, whether the test
     holds. Only distinct combinations are compared with each other; vocabularies bound them, not rows.
     """
-    u = profiles.withColumns({f"{name}_u": F.to_json(F.struct(*cols)) for name, (cols, _, _) in RELATIONS.items()})
-    o = opportunities.withColumns({f"{name}_o": F.to_json(F.struct(*cols)) for name, (_, cols, _) in RELATIONS.items()})
-    users, offered = u.drop(*{c for cols, _, _ in RELATIONS.values() for c in cols}), o.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *[f"{name}_o" for name in RELATIONS])
-    for name, (u_cols, o_cols, met) in RELATIONS.items():
-        numbered = o.select(f"{name}_o", *o_cols).dropDuplicates([f"{name}_o"]).withColumn(name, F.row_number().over(Window.orderBy(f"{name}_o")) - 1)
-        asked = u.select(f"{name}_u", *u_cols).dropDuplicates([f"{name}_u"])
+    u_cols, o_cols = ({c for r in RELATIONS.values() for c in r[k]} for k in (0, 1))
+    u = profiles.select("user_id", "u_gpa", "u_sai", *keep, *u_cols, *[F.to_json(F.struct(*cols)).alias(f"{name}_u") for name, (cols, _, _) in RELATIONS.items()])
+    o = opportunities.select("opp_id", "award", "min_gpa", "max_sai", "o_competition", *o_cols, *[F.to_json(F.struct(*cols)).alias(f"{name}_o") for name, (_, cols, _) in RELATIONS.items()])
+    u, o = written(u, "profiles"), written(o, "opportunities")  # each is read by every relation
+    users, offered = u.drop(*u_cols), o.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *[f"{name}_o" for name in RELATIONS])
+    for name, (asks, offers, met) in RELATIONS.items():
+        numbered = o.select(f"{name}_o", *offers).dropDuplicates([f"{name}_o"]).withColumn(name, F.row_number().over(Window.orderBy(f"{name}_o")) - 1)
+        asked = u.select(f"{name}_u", *asks).dropDuplicates([f"{name}_u"])
         tested = asked.join(numbered, how="cross").select(f"{name}_u", F.struct(name, F.coalesce(met(), F.lit(False)).alias("ok")).alias("t"))
         ok = tested.groupBy(f"{name}_u").agg(F.array_sort(F.collect_list("t")).alias("all")).select(f"{name}_u", F.transform("all", lambda t: t["ok"]).alias(f"{name}_ok"))
         users, offered = users.join(ok, f"{name}_u", "left").drop(f"{name}_u"), offered.join(numbered.select(f"{name}_o", name), f"{name}_o").drop(f"{name}_o")
@@ -187,20 +189,26 @@ def ranked_pairs(profiles: DataFrame, opportunities: DataFrame, dismissed: DataF
     counted by score, so that only those that can be among the top are sorted.
     """
     u, o = ready_profiles(profiles), ready_opportunities(opportunities)
+    if dismissed is not None:
+        dismissed = written(dismissed.select("user_id", "opp_id").distinct(), "dismissed")
     if top is None:
         pairs = eligible_pairs(u, o)
     else:
         users, offered = (written(df, "coded") for df in coded(u, o))  # both are read twice
         wanted = users.withColumn("wanted", F.lit(top))
         if dismissed is not None:  # as many more as may be left out
-            gone = dismissed.select("user_id", "opp_id").distinct().groupBy("user_id").agg(F.count(F.lit(1)).alias("gone"))
+            gone = dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias("gone"))
             wanted = users.join(gone, "user_id", "left").withColumn("wanted", top + F.coalesce("gone", F.lit(0))).drop("gone")
         least = _least_scores(coded_pairs(wanted, offered, "wanted"), F.col("wanted"))
-        pairs = coded_pairs(users.join(least, "user_id"), offered, "least").where("score >= least").drop("least")
-    if dismissed is not None:
-        pairs = pairs.join(dismissed.select("user_id", "opp_id").distinct(), ["user_id", "opp_id"], "left_anti")
+        kept = ["least"] if dismissed is None else ["least", "wanted"]
+        pairs = coded_pairs(wanted.join(least, "user_id"), offered, *kept).where("score >= least").drop("least")
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc(F.coalesce("award", F.lit(0))), "opp_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(order))
+    place = F.row_number().over(order)
+    if dismissed is not None:
+        if top is not None:  # what cannot come to the top is gone before the join
+            pairs = pairs.withColumn("rank", place).where(F.col("rank") <= F.col("wanted")).drop("rank", "wanted")
+        pairs = pairs.join(dismissed, ["user_id", "opp_id"], "left_anti")
+    ranked = pairs.withColumn("rank", place)
     return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
