@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,25 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch; texts are large, so batches are kept small.
-BATCH_ROWS = 256
-
+from meritlake.sources.tables import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="meritlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+__all__ = ["shared_dir", "written"]
 
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: its lineage ends there, and lost executors lose nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows in an Arrow batch; texts are large, so batches are kept small.
+BATCH_ROWS = 256
 
 
 def small_batches(spark: SparkSession) -> None:

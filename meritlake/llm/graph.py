@@ -13,7 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Nodes without a link do not appear. Self links and nulls are dropped; repeated links count once. An
     empty table gives an empty one. Each round is a large-star and a small-star step: joins and
-    partial aggregations only, so that a node with very many links is never gathered in one task.
+    partial aggregations only, so that a node with very many links is never gathered in one task. It ends when
+    links are stars: every node has one link, to a node that has none to a smaller one.
     """
     pairs = (
         links.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -21,19 +22,21 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    now, state = written(pairs, "links"), None
-    while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+    now = written(pairs, "links")
+    while not _stars(now):
+        ends = F.explode(F.array(F.struct(F.col("u").alias("n"), F.col("v").alias("m")), F.struct(F.col("v").alias("n"), F.col("v").alias("m"))))
+        low = now.select(ends.alias("x")).groupBy("x.n").agg(F.min("x.m").alias("m"))  # the least around each node, itself included
+        large = now.join(low.select(F.col("n").alias("v"), "m"), "v").select("u", F.col("m").alias("v"))
         # every link now leads to a smaller node: the small star ties a node's smaller neighbours to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        seen = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))"), F.expr("sum(cast(xxhash64(v, u) as decimal(38,0)))")).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
+        tied = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        now = written(tied.select("x.u", "x.v").where("u <> v").distinct(), "links")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _stars(links: DataFrame) -> bool:
+    """Whether no node has two links to smaller ones, or one to a smaller and one to a larger one."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+    each = ends.groupBy("x.n").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down"))
+    return each.where("up > 1 or (up = 1 and down = 1)").isEmpty()

@@ -19,6 +19,8 @@ MAX_BITS, MIN_SHARED = 3, 5
 TRIPLES = [(0, 1, 2), (0, 1, 3), (0, 2, 3), (1, 2, 3), (4, 5, 6), (4, 5, 7), (4, 6, 7), (5, 6, 7)]
 #: Fingerprints of one index list that are compared in one task; longer lists are split in blocks, and each pair of blocks is compared.
 BLOCK = 2048
+#: Links that a task keeps before it makes them into stars.
+HELD_LINKS = 1 << 20
 
 
 def fingerprint(text: str, size: int = 3) -> int:
@@ -59,7 +61,8 @@ def _close(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
 
 
 def _linked(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa.RecordBatch]:
-    """Links that hold each index list's components together."""
+    """Links that hold each index list's components together, those of a task made into stars."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for table in whole_groups(batches, ["key", "i", "j"]):
         key, i, j, fp, own = (table.column(c).to_numpy() for c in ("key", "i", "j", "fp", "own"))
         bounds = group_bounds(key, i, j)
@@ -89,9 +92,21 @@ def _linked(batches: Iterable[pa.RecordBatch], max_bits: int) -> Iterator[pa.Rec
             at = np.flatnonzero(root != np.arange(len(part)))
             out_a.append(part[at])
             out_b.append(part[root[at]])
-        a, b = np.concatenate(out_a or [fp[:0]]), np.concatenate(out_b or [fp[:0]])
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        held.append((np.concatenate(out_a or [fp[:0]]), np.concatenate(out_b or [fp[:0]])))
+        if sum(len(x) for x, _ in held) > HELD_LINKS:
+            yield contracted(held)
+            held = []
+    if held:
+        yield contracted(held)
+
+
+def contracted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Links as stars: each node of theirs to the least that they lead to."""
+    a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]).view(np.int64), return_inverse=True)
+    root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+    own = np.flatnonzero(root != np.arange(len(nodes)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["a", "b"])
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> DataFrame:

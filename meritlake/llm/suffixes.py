@@ -3,9 +3,9 @@
 A rolling hash picks triggers: the k-gram of least hash among those of a window. Each window has one trigger, and its
 place in the window follows from the window's bytes alone, so equal windows have equal triggers. The windows of one
 trigger, cut in two at a place that fixes a long common core, make a phrase; each window lies whole in one phrase, and
-the parse of a text is its phrases. Phrases that occur alike make the dictionary. A window repeats if its phrase
-occurs twice, or if it is equal to a window of another phrase in the dictionary's order of suffixes. Windows of
-phrases with different cores differ, so the order is built core by core.
+the parse of a text is its phrases. Phrases that occur alike make the dictionary. In corpus order a window stands beside
+its equals: those of its phrase's other places in the parse, and those that the dictionary's suffix array puts beside it.
+Windows of phrases with different cores differ, so the suffix array is built core by core, exact on bytes.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meritlake.llm.base import by_batch, small_batches, whole_groups, written
@@ -142,16 +142,32 @@ def _contexts(asked: DataFrame, length: int) -> DataFrame:
     return by_batch(asked, work, "core long, d long, k long, first int, last int, n long, bytes binary")
 
 
-def repeated_runs(window: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) places, among all windows in order of rows, of runs within a row whose hash is found again."""
-    order = np.argsort(window, kind="stable")
-    s = window[order]
-    same = np.zeros(len(s), dtype=bool)
-    same[1:] |= s[1:] == s[:-1]
-    same[:-1] |= s[1:] == s[:-1]
-    again = np.zeros(len(s), dtype=bool)
-    again[order] = same
-    at = np.flatnonzero(again)
+def suffix_ranks(data: np.ndarray, core: np.ndarray, length: int) -> np.ndarray:
+    """The rank of each suffix of data by its first length bytes, within its core; equal ranks are equal bytes.
+
+    The dictionary's suffix array by prefix doubling: ranks of 2 w bytes come from pairs of ranks of w. Matches are of
+    length bytes, so the order is not taken further. core: a number for each place; what reaches beyond a phrase's end
+    has no meaning.
+    """
+    rank, done = data.astype(np.int64), 1
+    out, had = None, 0
+
+    def paired(a: np.ndarray, b: np.ndarray, gap: int) -> np.ndarray:
+        behind = np.zeros(len(a), dtype=np.int64)
+        behind[: max(len(a) - gap, 0)] = b[gap:] + 1
+        return np.unique(a * (int(b.max(initial=0)) + 2) + behind, return_inverse=True)[1]
+
+    while True:
+        if length & done:
+            out, had = (rank, done) if out is None else (paired(out, rank, had), had + done)
+        if had == length:
+            return np.unique(core * (int(out.max(initial=0)) + 1) + out, return_inverse=True)[1]
+        rank, done = paired(rank, rank, done), 2 * done
+
+
+def repeated_runs(rank: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) places, among all windows in order of rows, of runs within a row whose rank is found again."""
+    at = np.flatnonzero(np.bincount(rank)[rank] > 1) if len(rank) else rank
     if not len(at):
         return at, at
     cut = np.flatnonzero((np.diff(at) != 1) | (np.diff(row[at]) != 0))
@@ -170,8 +186,8 @@ def _ordered(batches, length: int):
         base = np.cumsum(sizes) - sizes
         row = np.repeat(np.arange(len(core)), windows)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        h = rolling(data, length)[base[row] + nth] ^ (core.view(np.uint64)[row] * _ODD[0])
-        a, b = repeated_runs(h, row)
+        number = np.cumsum(np.append(0, core[1:] != core[:-1]))
+        a, b = repeated_runs(suffix_ranks(data, np.repeat(number, sizes), length)[base[row] + nth], row)
         if len(a):
             r = row[a]
             s, e = first[r] + nth[a], first[r] + nth[b] + length
@@ -180,18 +196,17 @@ def _ordered(batches, length: int):
 
 def repeated_spans(keyed: DataFrame, length: int, gram: int = GRAM, most: int = CORE_PHRASES) -> DataFrame:
     """(d, k, s, e): spans of each text (d, k, text) that repeated windows of length bytes cover."""
-    by_core, by_phrase = Window.partitionBy("core"), Window.partitionBy("core", "phrase")
-    parsed = (
-        _parse(keyed, length, gram)
-        .withColumn("copies", F.sum("times").over(by_phrase))
-        .withColumn("nth", F.row_number().over(by_phrase.orderBy("d", "k", "first")))
-        .withColumn("n", F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).over(by_core))
-        .where("copies > 1 or n > 1")
-    )
-    parsed = written(parsed, "phrases")
+    parsed = written(_parse(keyed, length, gram), "parse")
+    # the parse's order: a window lies in one phrase, so suffixes of the parse meet by their first phrase alone
+    phrase = parsed.groupBy("core", "phrase").agg(F.sum("times").alias("copies"), F.min(F.struct("d", "k", "first", "last")).alias("at"))
+    phrase = written(phrase, "phrases")
+    cores = phrase.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    again = phrase.where("copies > 1").select("core", "phrase")
+    repeated = parsed.join(again, ["core", "phrase"])
     one = F.array(F.struct(F.col("first").alias("s"), (F.col("last") + length).cast("int").alias("e")))
-    whole = parsed.where("copies > 1").select("d", "k", F.explode(F.coalesce("own", one)).alias("x")).select("d", "k", "x.s", "x.e")
-    want = parsed.where("n > 1 and nth = 1").groupBy("d", "k").agg(F.collect_list(F.struct("core", "first", "last", "n")).alias("want"))
+    whole = repeated.select("d", "k", F.explode(F.coalesce("own", one)).alias("x")).select("d", "k", "x.s", "x.e")
+    heads = phrase.join(cores, "core").select(F.col("at.d").alias("d"), F.col("at.k").alias("k"), "core", F.col("at.first").alias("first"), F.col("at.last").alias("last"), "n")
+    want = heads.groupBy("d", "k").agg(F.collect_list(F.struct("core", "first", "last", "n")).alias("want"))
     found = _contexts(keyed.join(want, ["d", "k"]), length)
     found = written(found, "dictionary")
     few = found.where(F.col("n") <= most).repartition("core").sortWithinPartitions("core")
