@@ -28,4 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: lineage ends there, and lost executors lose nothing of it."""
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove what written() wrote for df, once all that reads it has been written itself."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
