@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.sources.tables import shared_dir, written
+from meritlake.sources.tables import discard, shared_dir, written
 
-__all__ = ["shared_dir", "written"]
+__all__ = ["discard", "shared_dir", "written"]
 
 #: Rows in an Arrow batch; texts are large, so batches are kept small.
 BATCH_ROWS = 256
