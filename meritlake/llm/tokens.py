@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import re
 from itertools import accumulate
-from struct import pack
+from struct import Struct, pack
 
 import numpy as np
 
 #: Pieces that are kept; a full table is emptied, so memory is bounded.
 KEPT_PIECES = 700_000
 #: Marks that the pattern parts from the word before them.
-_TAILS = frozenset(".,")
+_TAILS = frozenset('.,;:!?)"')
 _BREAK = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -22,6 +22,14 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Packers(dict):
+    """Packs so many ids, four bytes each."""
+
+    def __missing__(self, n: int):
+        self[n] = found = Struct(f"<{n}I").pack
+        return found
+
+
 class Pieces:
     """Ids and places of a byte-level BPE's tokens.
 
@@ -37,6 +45,7 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self._packed = _Packers()
         self.spans = spans
         self.newline = pack("<2i", 0, 1) if spans else pack("<I", *self.tokenizer.encode("\n", add_special_tokens=False).ids)
         self.tails = {t: self._run(t) for t in _TAILS}
@@ -67,6 +76,8 @@ class Pieces:
         return out
 
     def _run(self, run: str, base: int = 0) -> bytes:
+        if not self.spans and run.isascii():
+            return self._packed[len(tokens := self.model.tokenize(run.replace(" ", self.letters[32])))](*[t.id for t in tokens])
         raw = run.encode()
         tokens = self.model.tokenize(raw.decode("latin-1").translate(self.letters) if len(raw) > len(run) else run.replace(" ", self.letters[32]))
         if not self.spans:
