@@ -43,44 +43,55 @@ def as_tree(turns: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def root_paths(tree: DataFrame) -> DataFrame:
-    """(conv_id, leaf, path array of nodes from root to leaf, score): all root-to-leaf paths of (conv_id, node, parent, score).
+def ancestors(tree: DataFrame) -> list[DataFrame]:
+    """For r = 0, 1, ...: (conv_id, node, up, score, depth) of all nodes of (conv_id, node, parent, score).
 
-    Self-joins double the known stretch of each path, so a tree of depth d takes log2(d) rounds. A parent that
-    is missing makes its child a root. The path's score is the sum of its nodes' scores (null: 0).
+    up is the 2**r-th ancestor, null if there is none; score and depth are the sum and number of the nodes before it. Each
+    table is the one before joined to itself, so a tree of depth d takes log2(d) rounds, and a node has one row of
+    numbers in each. In the last table no node has an up. A parent that is missing makes its child a root.
     """
-    nodes = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["conv_id", "node"])
+    nodes = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv_id is not null and node is not null").dropDuplicates(["conv_id", "node"])
     known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    step = (
-        nodes.join(known, ["conv_id", "parent"], "left")
-        .select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.array("node").alias("path"), "score")
-    )
-    step = written(step, "paths")
-    done, going = step.where("up is null"), step.where("up is not null")
-    while not going.isEmpty():
-        above = step.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("path").alias("path2"), F.col("score").alias("score2"))
-        longer = written(
-            going.join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), F.concat("path2", "path").alias("path"), (F.col("score") + F.col("score2")).alias("score")),
-            "paths",
-        )
-        done, going = done.unionByName(longer.where("up is null")), longer.where("up is not null")
-        step = done.unionByName(going)
-    step = done
-    inner = nodes.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
-    return step.join(inner, ["conv_id", "node"], "left_anti").select("conv_id", F.col("node").alias("leaf"), "path", "score")
+    first = nodes.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth"))
+    out = [written(first, "ancestors")]
+    while not out[-1].where("up is not null").isEmpty():
+        above = out[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        more = out[-1].join(above, ["conv_id", "up"], "left")
+        out.append(written(more.select("conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "ancestors"))
+    return out
+
+
+def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
+    """(conv_id, branch, leaf, path_score, at, node): the best root-to-leaf paths of each tree, a row for each node, at from 1 at the root.
+
+    Branches are ranked by score (the sum of their nodes' scores, null as 0), then depth, then leaf. Only the chosen leaves'
+    paths are enumerated: a stretch of a path is halved at its ancestor until stretches are nodes.
+    """
+    jumps = ancestors(tree)
+    inner = tree.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
+    leaves = jumps[-1].join(inner, ["conv_id", "node"], "left_anti")
+    rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("depth"), "node")
+    chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
+    stretch = chosen.select("conv_id", "branch", F.col("node").alias("leaf"), F.col("score").alias("path_score"), "node", F.col("depth").alias("at"), F.col("depth").alias("size"))
+    for r in reversed(range(len(jumps))):
+        half = 2**r
+        named = lambda node, at, size: F.struct(node.alias("node"), at.alias("at"), size.alias("size"))
+        node, at, size = F.col("node"), F.col("at"), F.col("size")
+        cut = F.when(size > half, F.array(named(F.col("up"), at - half, size - half), named(node, at, F.lit(half).cast("long")))).otherwise(F.array(named(node, at, size)))
+        split = stretch.join(jumps[r].select("conv_id", "node", "up"), ["conv_id", "node"]).withColumn("x", F.explode(cut))
+        stretch = split.select("conv_id", "branch", "leaf", "path_score", "x.node", "x.at", "x.size")
+    return stretch.drop("size")
 
 
 def format_paths(tree: DataFrame, best: int = 1, loss_role: str = "assistant") -> DataFrame:
     """(conv_id, branch, leaf, score, n_turns, formatted, loss_spans): the best paths of each tree as one text each.
 
-    tree: (conv_id, node, parent, role, text, score). Branches are ranked by score, then depth, then leaf. A turn
-    is OPEN role newline text CLOSE newline. loss_spans are the places (start from 0, length, in code points)
-    of the loss_role's texts in formatted. An empty tree table gives no rows.
+    tree: (conv_id, node, parent, role, text, score); rows with a null conv_id or node belong to no tree and are left out,
+    other columns are ignored, and of rows with one node one counts. A turn is OPEN role newline text CLOSE newline.
+    loss_spans are the places (start from 0, length, in code points) of the loss_role's texts in formatted. An empty tree
+    table gives no rows.
     """
-    paths = root_paths(tree)
-    rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc(F.size("path")), "leaf")
-    chosen = paths.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
-    steps = chosen.select("conv_id", "branch", "leaf", F.col("score").alias("path_score"), F.posexplode("path").alias("at", "node"))
+    steps = best_paths(tree, best)
     said = tree.dropDuplicates(["conv_id", "node"]).select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     turn = F.struct("at", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
