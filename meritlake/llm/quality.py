@@ -61,8 +61,7 @@ def statistics(text: str) -> tuple[int, int, int, int, int, list[float]]:
     some = max(n, 1)
     shouted = sum(map(str.isupper, text.split())) / some
     marks = (text.count("!") + text.count("?")) / some
-    # what any page may repeat is no sign
-    features = [min(symbols / some, 0.4), max(dups / max(full, 1) - 0.3, 0.0), max(repeats / some - 0.2, 0.0), chars / some, shouted, min(marks, 3.0), min(len(set(words)) / some, 0.5) if n >= MIN_WORDS else 0.5]
+    features = [symbols / some, dups / max(full, 1), repeats / some, chars / some, shouted, marks, len(set(words)) / some]
     return n, chars, symbols, dups, repeats, features
 
 
