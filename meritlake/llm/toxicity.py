@@ -50,7 +50,7 @@ def train_rows(labels: DataFrame) -> DataFrame:
 
 def held_out(doc_id: Column) -> Column:
     """Whether a document's label is not learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def choose_terms(examples: DataFrame, most: int = TERMS) -> list[str]:
@@ -158,18 +158,18 @@ def calibrate(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple
     return np.array([p[0] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7, toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame | None = None, cut: float = 0.7, toxic_examples: int = TOXIC_EXAMPLES, clean_examples: int = CLEAN_EXAMPLES, train: DataFrame | None = None) -> DataFrame:
     """(doc_id, held_out, score, predicted, evidence, cosines) of every document.
 
-    The index holds a bounded, documented sample of the rows that may be learnt from; terms' document counts come from
+    train: (doc_id, toxic) rows to learn from, if they are not train_rows(labels). The index holds a bounded, documented sample of the rows that may be learnt from; terms' document counts come from
     all documents, and every whole text is scored. A score is the calibrated, distance-weighted vote of the nearest
     examples (never the document itself); evidence has the nearest ids. Texts without a chosen term, null and empty
     ones included, get the share of toxic rows among such examples. Without labels of both classes every score is
     the toxic share of those there are, or 0. Repeated rows are scored each; an empty table gives an empty one. A null
-    doc_id has held_out null.
+    doc_id is not held out.
     """
     spark = docs.sparkSession
-    train = written(train_rows(labels), "train")
+    train = written(train_rows(labels) if train is None else train, "train")
     size = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     of = lambda y, n: least_hashed(train.where(F.col("toxic") == y), n, "doc_id")
     sample = written(of(1, toxic_examples).unionByName(of(0, clean_examples)), "sample")  # bounded: toxic_examples + clean_examples rows
