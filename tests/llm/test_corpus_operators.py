@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from meritlake.llm import chat, compact_windows, latent, suffixes
+from meritlake.llm import chat, compact_windows, latent, simhash, suffixes, toxicity, words
 from meritlake.llm import queries as q
 
 SF = "/root/testdata/sf0.001"
@@ -62,12 +63,25 @@ def test_paths_of_a_tree(spark):
         while up[path[0]] is not None:
             path.insert(0, up[path[0]])
         want[leaf] = (path, sum(score[x] for x in path))
-    got = {r["leaf"]: (r["path"], r["score"]) for r in chat.root_paths(tree).where("conv_id = 1").collect()}
-    assert got == want
+    got = defaultdict(list)
+    for r in chat.best_paths(tree, best=1000).where("conv_id = 1").collect():
+        got[r["leaf"], r["path_score"]].append((r["at"], r["node"]))
+    assert {leaf: ([n for _, n in sorted(at)], score) for (leaf, score), at in got.items()} == want
+    assert all([k for k, _ in sorted(at)] == list(range(1, len(at) + 1)) for at in got.values())
     best = chat.format_paths(tree, best=2).where("conv_id = 1").orderBy("branch").collect()
     assert [r["leaf"] for r in best] == sorted(want, key=lambda x: (-want[x][1], -len(want[x][0]), x))[:2]
 
 
+def test_long_conversation_and_rows_of_no_tree(spark):
+    n = 20_000
+    turns = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"), F.col("id").cast("string").alias("text"))
+    steps = chat.best_paths(chat.as_tree(turns))
+    assert steps.agg(F.count(F.lit(1)), F.min(F.col("at") == F.col("node")), F.max("at")).first()[:] == (n, True, n)
+    lost = spark.createDataFrame([(None, 0, "user", "a", 5), (7, 0, "user", "b", 5)], "conv_id long, turn long, role string, text string, leaf int")
+    made = chat.format_paths(chat.as_tree(lost)).collect()
+    assert [(r["conv_id"], r["formatted"]) for r in made] == [(7, "<|im_start|>user\nb<|im_end|>\n")]
+
+
 # exact repeats
 
 
@@ -151,13 +165,68 @@ def test_near_repeated_passages(spark, odd, none):
     assert compact_windows.repeated_passages(odd).count() == odd.count() and compact_windows.repeated_passages(none).count() == 0
 
 
-def test_windows_cover_each_long_stretch_once():
-    h = np.random.default_rng(1).integers(0, 50, 60).astype(np.uint64)
-    nodes = compact_windows.windows(h, 7)
-    for a in range(60):
-        for b in range(a + 6, 60):
-            own = [c for l, c, r in nodes if l <= a <= c <= b <= r]
-            assert len(own) == 1 and h[own[0]] == h[a : b + 1].min()
+def test_windows_cover_each_passage_once():
+    h = np.random.default_rng(1).integers(0, 2**62, 60).astype(np.uint64)
+    nodes = list(zip(*(x.tolist() for x in compact_windows.windows(h, np.array([0, 25, 30, 60]), 7)), strict=True))
+    for lo, hi in ((0, 25), (25, 30), (30, 60)):
+        for a in range(lo, hi):
+            own = [c for l, c, r in nodes if l <= a <= r]
+            if a + 7 > hi:
+                assert own == []
+            else:
+                assert len(own) == 1 and h[own[0]] == h[a : a + 7].min() and a <= own[0] < a + 7
+
+
+def test_words_are_hashed_alike_wherever_they_stand():
+    texts = ["One  two\tTHREE", "", "  ", "two", "é one\x0b日本 two ", "three"]
+    column = pa.array(["skipped", *texts]).slice(1)
+    seen = {}
+    for a, b, data, bounds in words.parts(column):
+        hashes, begins = words.word_hashes(data, bounds)
+        for k in range(a, b):
+            own = texts[k].encode().lower().split()
+            got = hashes[begins[k - a] : begins[k - a + 1]].tolist()
+            assert len(got) == len(own)
+            for w, h in zip(own, got, strict=True):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen) == 5
+
+
+def test_recall_of_repeated_passages(spark):
+    """Against brute force: exact passages of 50 words are all found, those of Jaccard 0.8 to 0.95 but for a few; also where all texts share a line."""
+    rng = random.Random(3)
+    known = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(3000)]
+    fresh = lambda n: rng.choices(known, k=n)
+    line, texts, due = fresh(35), {}, []
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k in range(300):
+        passage = fresh(rng.choice([50, 50, 60, 90]))
+        if k % 3 == 0:
+            passage[5:25] = line[:20]  # its least shingles may be common ones
+        other = passage.copy()
+        if k % 2:
+            for _ in range(1 + (len(passage) > 80)):
+                other[rng.randrange(len(other))] = "changed" + str(k)
+        a, b = grams(passage), grams(other)
+        if len(a & b) >= 0.8 * len(a | b):
+            due.append((2 * k, 2 * k + 1, k % 2))
+        for n, p in ((2 * k, passage), (2 * k + 1, other)):
+            texts[n] = fresh(rng.randint(20, 60)) + line + fresh(rng.randint(0, 30)) + p + fresh(rng.randint(0, 40))
+    rows = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeated"] for r in compact_windows.repeated_passages(rows).collect()}
+    exact = [got[a] >= 50 and got[b] >= 50 for a, b, near in due if not near]
+    near = [got[a] >= 45 and got[b] >= 45 for a, b, near in due if near]
+    assert len(exact) == 150 and all(exact)
+    assert len(near) > 100 and sum(near) >= 0.9 * len(near)
+    alone = spark.createDataFrame([(k, " ".join(fresh(60) + line + fresh(60))) for k in range(40)], "doc_id long, text string")
+    assert compact_windows.repeated_passages(alone).where("n_repeated > 0").count() == 0
+
+
+def test_repeated_rows_are_repeated_as_a_whole(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = spark.createDataFrame([(1, long), (2, long), (None, long), (3, "short one"), (4, "short one")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["n_repeated"], r["partner"]) for r in compact_windows.repeated_passages(rows).collect())
+    assert got == [(0, 60, 1), (1, 60, 2), (2, 60, 1), (3, 0, None), (4, 0, None)]
 
 
 # decontamination
@@ -235,6 +304,36 @@ def test_common_length():
 # pipeline
 
 
+def test_near_copies_against_plain_components(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    odd = [(None, "a text without an id that stands alone here"), (rows[0][0], "another text under an id that is taken"), (rows[0][0], rows[0][1]), (None, rows[1][1])]
+    table = spark.createDataFrame(rows + odd, "doc_id long, text string").withColumns({"lang": F.lit("x"), "component_id": F.lit(1)})
+    fps = [(simhash.fingerprint(t or ""), d, t) for d, t in rows + odd]
+    group = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a][0] ^ fps[b][0]).bit_count() <= 3:
+                x, y = group[a], group[b]
+                group = [min(x, y) if g in (x, y) else g for g in group]
+    first = {}
+    for g, (_, d, _) in zip(group, fps, strict=True):
+        first.setdefault(g, []).append((d is None, d or 0))
+    got = corpus_pipeline.drop_near_copies(spark, table, SF)
+    assert got.columns == table.columns
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got.collect()) == sorted(min(x) for x in first.values())
+
+
+def test_rows_without_an_id_are_scored(spark):
+    sf = SF.replace("0.001", "0.01")  # the smallest table has no such row
+    labels, docs = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bad = {r["doc_id"] for r in toxicity.scored(docs, labels).where("predicted = 1 and held_out").collect()}
+    table = docs.unionByName(docs.where(F.col("doc_id").isin(*bad)).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(spark.createDataFrame([(None, "plain words")], docs.schema))
+    kept = corpus_pipeline.drop_toxic(spark, table, sf).collect()
+    assert bad and not bad & {r["doc_id"] for r in kept} and [r["text"] for r in kept if r["doc_id"] is None] == ["plain words"]
+    assert {r["held_out"] for r in toxicity.scored(table, labels).where("doc_id is null").collect()} == {False}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash_near_dedup", "benchmark_decontamination", "pii", "best_fit_packing"]
