@@ -119,6 +119,11 @@ def metro_terms() -> tuple[dict[str, str], dict[str, str]]:
     return words, counties
 
 
+def first_metro(text: Column) -> Column:
+    """The first area that a text names, words for areas before counties, or null."""
+    return F.get(metros_in(text), F.lit(0))
+
+
 def metros_in(text: Column) -> Column:
     """Areas that a text names, each once: first by words for areas, then by counties, as whole words."""
     words, counties = metro_terms()

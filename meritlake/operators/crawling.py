@@ -177,3 +177,25 @@ def after_queue_run(seeds: DataFrame, batch: DataFrame, stats: DataFrame, hubs:
     marked = after_crawl(seeds, batch.select("url").join(verdict, how="cross"), as_of)
     new = hubs.select("url").distinct().join(seeds.select("url"), "url", "left_anti").select("url", F.lit("queued").alias("status"), F.lit(0).alias("priority"), F.lit(0).alias("error_count"))
     return marked.unionByName(new, allowMissingColumns=True)
+
+
+NO_ANSWER, NO_HEAD = 999, 405
+
+
+def link_codes(urls: DataFrame, responses: DataFrame) -> DataFrame:
+    """(url, code) of each url: what a HEAD request got, or a GET where HEAD is not allowed or failed; 999 for a blank address and for no answer.
+
+    responses: (url, head, get), null where a request failed; an address that is not in it was not reached.
+    """
+    got = responses.groupBy("url").agg(F.max("head").alias("head"), F.max("get").alias("get"))
+    code = F.when(F.coalesce(F.trim("url"), F.lit("")) == "", NO_ANSWER).when(F.col("head") != NO_HEAD, F.col("head")).otherwise(F.coalesce("get", F.lit(NO_ANSWER)))
+    return urls.select("url").distinct().join(got, "url", "left").select("url", code.alias("code"))
+
+
+def verified(links: DataFrame, codes: DataFrame) -> DataFrame:
+    """links (url, source) with final_url and is_valid: the address as it is resolved against its source if it answers below 400, else the source if that does."""
+    full = links.withColumn("full", web.resolved_or_page(F.col("url"), F.col("source")))
+    good = codes.where("code < 400").select(F.col("url").alias("full"), F.lit(True).alias("full_ok")).distinct()
+    both = full.join(good, "full", "left").join(good.select(F.col("full").alias("source"), F.col("full_ok").alias("source_ok")), "source", "left")
+    own, other = F.coalesce("full_ok", F.lit(False)), F.coalesce("source_ok", F.lit(False))
+    return both.withColumn("final_url", F.when(~own & other, F.col("source")).otherwise(F.col("full"))).withColumn("is_valid", own | other).drop("full", "full_ok", "source_ok")

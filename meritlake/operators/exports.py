@@ -84,8 +84,18 @@ def day_calendar(items: DataFrame, stamp: str, brand: str = BRAND) -> DataFrame:
     )
 
 
+def _reminder() -> Column:
+    """An alarm at the reminder's time with the line break behind it, or nothing."""
+    at = F.date_format(F.col("reminder").try_cast("timestamp"), "yyyyMMdd'T'HHmmss'Z'")
+    lines = ["BEGIN:VALARM", "ACTION:DISPLAY", F.concat(F.lit("DESCRIPTION:"), escaped(F.concat(F.lit("Reminder: "), F.col("title")))), F.concat(F.lit("TRIGGER;VALUE=DATE-TIME:"), at), "END:VALARM"]
+    return F.when(at.isNotNull(), F.concat(*[x for line in lines for x in (F.lit(line) if isinstance(line, str) else line, F.lit("\r\n"))])).otherwise("")
+
+
 def timed_calendar(items: DataFrame, brand: str = BRAND) -> DataFrame:
-    """(user_id, n_events, ics): events from 23:59 to 00:59 UTC of the shown statuses, with alarms seven days and one day before."""
+    """(user_id, n_events, ics): events from 23:59 to 00:59 UTC of the shown statuses, with alarms seven days and one day before.
+
+    Items with a reminder (a text that holds a time, in UTC where it names no zone) get another alarm at that time; one that is no time is passed over.
+    """
     at = lambda d, t: F.concat(F.date_format(d, "yyyyMMdd"), F.lit(t))
     about = F.concat(F.lit("Provider: "), F.col("provider"), F.lit("\nAward: "), money(F.col("award")), F.lit("\nStatus: "), F.col("status"))
     return _calendar(
@@ -101,7 +111,7 @@ def timed_calendar(items: DataFrame, brand: str = BRAND) -> DataFrame:
             "STATUS:CONFIRMED",
             "BEGIN:VALARM", "ACTION:DISPLAY", F.concat(F.lit("DESCRIPTION:"), escaped(F.concat(F.lit("7 days left: "), F.col("title"), F.lit(" deadline")))), "TRIGGER:-P7D", "END:VALARM",
             "BEGIN:VALARM", "ACTION:DISPLAY", F.concat(F.lit("DESCRIPTION:"), escaped(F.concat(F.lit("1 day left: "), F.col("title"), F.lit(" deadline")))), "TRIGGER:-P1D", "END:VALARM",
-            "END:VEVENT",
+            *([F.concat(_reminder(), F.lit("END:VEVENT"))] if "reminder" in items.columns else ["END:VEVENT"]),
         ],
     )
 

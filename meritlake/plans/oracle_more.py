@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from meritlake.functions import vocabulary as v
-from meritlake.plans.oracle import BUDGETS, ELIGIBLE, MESSAGES, OPPORTUNITIES, PROFILES, SCORED, TRACKINGS
+from meritlake.plans.oracle import BUDGETS, ELIGIBLE, MESSAGES, OPPORTUNITIES, PROFILES, SCORED, TRACKINGS, _event_timed, _lines
 from meritlake.plans.oracle_web import DOMAIN, FIRST_EACH, LINKS, PATH, SEEDS, URL, _hits, _mapped, _metros, _residency, _unescape, _visible
 
 PICK = "list_extract([{}], cast({} as int) + 1)"
@@ -62,7 +62,19 @@ OPTIONS = "[" + ", ".join(f"{{'slug': '{a}', 'states': {['*', *s]!r}}}" for a, _
 MAILS = """case when n = 0 then 'New scholarships coming soon' else 'Update: ' || n || ' new scholarships ($' || format('{:,}', total) || ' total) for your discipline!' end"""
 SOON = "We''re constantly indexing new scholarships for clinical health students. Check back soon for fresh opportunities matched to your discipline."
 
+CODES = """p as (select page_id as k, trim(url) as url from pages), c as (select url, case when url = '' then 999 when k % 11 = 5 then 999 when k % 4 = 0 then 200 when k % 4 = 2 then 404 when k % 3 = 0 then 200 when k % 3 = 1 then 500 else 999 end as code from p union all select ' ', 999)"""
+
 ORACLE_MORE = {
+    "S14_link_codes": f"with {CODES} select url, code from c",
+    "C18_verified_links": f"""with {CODES}, l as (select k, url as source, case k % 5 when 0 then url when 1 then regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/gone' else url end as url from p)
+select k as page_id, case when l.url in (select url from c where code < 400) or source not in (select url from c where code < 400) then l.url else source end as final_url, l.url in (select url from c where code < 400) or source in (select url from c where code < 400) as is_valid from l""",
+    "S11_fetch_errors": f"""with {CODES}, g as (select trim(url) as url, page_id % 2 = 0 as ok from pages) select g.url, ok, case when g.url = '' then 'blank' when code = 999 then 'unreachable' when code >= 400 then 'http' when not ok then 'empty' end as error from g join c on c.url = g.url""",
+    "K13_reminder_calendar": f"""with {OPPORTUNITIES}, {TRACKINGS}, items as (select t.*, title, provider, award, deadline, opp_id % 3 = 0 and opp_id % 6 <> 0 as reminded from d_tracks t join d_opps using (opp_id) where is_planned and status in ('saved', 'in_progress', 'submitted')),
+e as (select *, {_event_timed()} as event, strftime(deadline - 2, '%Y%m%d') || 'T083000Z' as rung from items)
+select user_id, count(*) as n_events, count(*) filter (where reminded) as n_reminders, coalesce(min_by(rung, struct_pack(d := deadline, o := opp_id)) filter (where reminded), '') as first_reminder,
+  cast(length({_lines("'BEGIN:VCALENDAR'", "'PRODID:-//Meritlake//Scholarship Deadlines//EN'", "'VERSION:2.0'", "'NAME:Meritlake Scholarship Deadlines'", "'X-WR-CALNAME:Meritlake Scholarships'", "'X-WR-TIMEZONE:UTC'")}) + 2 + sum(length(event) + 2 + case when reminded then 108 + length(title) else 0 end) + length('END:VCALENDAR') as bigint) as n_chars from e group by user_id""",
+    "C19_first_areas": f"with t as (select doc_id, lower(text) as x from documents) select doc_id, list_extract({_metros('x')}, 1) as metro from t",
+    "X04_hub_lists": f"with {LINKS}, f as (select domain, url, min(struct_pack(p := page_id, n := nth)) as place from judged group by 1, 2) select domain, count(*) as n, md5(string_agg(url, ' ' order by place)) as urls_md5 from f group by 1",
     "S03_lookups": "select event_id, p_name as title, p_name is not null as found from events left join part on p_partkey = event_id",
     "S04_calendar_tokens": f"""with {TRACKINGS}, u as (select c_custkey as id, sha256('salt-' || c_custkey) as token from customer join nation on c_nationkey = n_nationkey), n as (select user_id, count(*) as n from d_tracks where status in ('saved', 'in_progress', 'submitted') group by 1)
 select id as caller, case when id % 10 = 0 then 'nobody' else token end as feed_token, case when id % 10 = 0 then 0 else coalesce(n, 0) end as n_events from u left join n on n.user_id = id""",

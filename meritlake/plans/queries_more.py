@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritlake.functions import checks, display, labels, parsing, portals, vocabulary, web
-from meritlake.operators import contract, crawling, events, ingesting, lifecycle, matching, support, tiering, writing
+from meritlake.operators import contract, crawling, events, exports, ingesting, lifecycle, matching, support, tiering, writing
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
 from meritlake.sources import readers
@@ -334,11 +334,56 @@ def resolved_links(spark: SparkSession, sf: str) -> DataFrame:
     return d.table(spark, sf, "pages").select("page_id", web.resolved_or_page(href, page).alias("address"))
 
 
+def _codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of each page's address: some do not allow HEAD, some fail, some are gone."""
+    k = F.col("page_id")
+    pages = d.table(spark, sf, "pages").where("page_id % 11 <> 5").select(F.trim("url").alias("url"), F.when(k % 4 == 1, 405).when(k % 4 == 2, 404).when(k % 4 == 0, 200).alias("head"), F.when(k % 3 == 0, 200).when(k % 3 == 1, 500).alias("get"))
+    return crawling.link_codes(d.table(spark, sf, "pages").select(F.trim("url").alias("url")).union(spark.range(1).select(F.lit(" "))), pages)
+
+
+def link_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """The status of each address."""
+    return _codes(spark, sf)
+
+
+def verified_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Each page's link, with the page as the fallback."""
+    links = d.table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, "").when(F.col("page_id") % 5 == 1, "/gone").otherwise(F.trim("url")).alias("url"), F.trim("url").alias("source"))
+    return crawling.verified(links, _codes(spark, sf)).select("page_id", "final_url", "is_valid")
+
+
+def fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """What went wrong with each page that was asked for."""
+    pages = d.table(spark, sf, "pages")
+    got = readers.fetched(pages.select(parsing.clean(F.col("url")).alias("url")).distinct(), pages.where("page_id % 2 = 0"))
+    return readers.fetch_errors(got, _codes(spark, sf)).select("url", "ok", "error")
+
+
+def reminder_calendar(spark: SparkSession, sf: str) -> DataFrame:
+    """Timed calendars of planned trackings, every third with a reminder of its own, every sixth with one that is no time."""
+    k = F.col("opp_id")
+    opps = d.opportunities(spark, sf).select("opp_id", "title", "provider", "portal_url", "award", "deadline")
+    items = d.trackings(spark, sf).where("is_planned").join(opps, "opp_id").withColumn("reminder", F.when(k % 6 == 0, "soon").when(k % 3 == 0, F.concat(F.date_sub("deadline", 2).cast("string"), F.lit("T08:30:00"))))
+    out = exports.timed_calendar(items)
+    return out.select("user_id", "n_events", (F.size(F.split("ics", "TRIGGER;VALUE=DATE-TIME:")) - 1).cast("long").alias("n_reminders"), F.regexp_extract("ics", "TRIGGER;VALUE=DATE-TIME:([0-9TZ]+)", 1).alias("first_reminder"), F.length("ics").cast("long").alias("n_chars"))
+
+
+def first_areas(spark: SparkSession, sf: str) -> DataFrame:
+    """The first area that each document names."""
+    return d.table(spark, sf, "documents").select("doc_id", labels.first_metro(F.col("text")).alias("metro"))
+
+
+def hub_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """The addresses that a domain's pages name, each once, in the order of pages and places."""
+    links = crawling.page_links(d.table(spark, sf, "pages")).groupBy("domain", "url").agg(F.min(F.struct("page_id", "nth")).alias("at"))
+    return links.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("at", "url"))).alias("urls")).select("domain", F.size("urls").cast("long").alias("n"), F.md5(_joined(F.transform("urls", lambda x: x["url"]), " ")).alias("urls_md5"))
+
+
 QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S03_lookups": lookups, "S04_calendar_tokens": calendar_tokens, "S05_registry": registry, "S07_seed_files": seed_files, "S08_seed_csv": seed_csv, "K07_dismissals": dismissals, "K01_tracking_writes": tracking_writes,
     "K06_patches": tracking_patches, "K04_unseen_inserts": unseen_inserts, "J11_billed_events": billed_events, "B03_billed_profiles": billed_profiles, "K16_receipts": receipts, "K16_reengagement_mails": reengagement_mails,
     "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "G10_crawl_stats": crawl_stats,
     "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
-    "U03_resolved_links": resolved_links,
+    "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
 }
