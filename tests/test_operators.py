@@ -164,6 +164,39 @@ def test_crawl_is_breadth_first(spark):
     assert got == want
 
 
+def test_crawl_of_many_pages_keeps_its_order(spark):
+    n, depth, cap = 30_000, 3, 40
+    links = lambda x: [(2 * x + 1) % n, (3 * x + 2) % n, (7 * x + 5) % n]
+    pages = spark.range(n).select(F.col("id").alias("node"), F.concat(F.lit("d"), F.col("id") % 501).alias("domain"), (F.col("id") % 10 != 3).alias("ok"))
+    edges = pages.select("node", F.posexplode(F.array((F.col("node") * 2 + 1) % n, (F.col("node") * 3 + 2) % n, (F.col("node") * 7 + 5) % n)).alias("nth", "target"))
+    seeds = pages.where("node % 2 = 0").select("node", (F.lit(n) - F.col("node")).alias("pos"))
+    taken = crawling.crawl(pages, edges, seeds, depth, cap).orderBy("depth", "place").collect()
+    want, used, queue = {}, {}, deque((x, 0) for x in range(n - 2, -1, -2))
+    while queue:
+        x, at = queue.popleft()
+        if x in want:
+            continue
+        d = x % 501
+        want[x] = (at, "capped" if used.get(d, 0) >= cap else "failed" if x % 10 == 3 else "fetched")
+        if want[x][1] == "fetched":
+            used[d] = used.get(d, 0) + 1
+            if at < depth:
+                queue.extend((t, at + 1) for t in links(x))
+    assert [r["node"] for r in taken] == list(want) and all((r["depth"], r["outcome"]) == want[r["node"]] for r in taken)
+
+
+def test_dates_in_other_words(spark):
+    cases = [("Applications close on the 3rd of April 2027", "2027-04-03"), ("Apr 5", "2026-04-05"), ("25/12/2026", "2026-12-25"), ("12-25-26", "2026-12-25"), ("2026/2/30", None), ("Spring 2027", "2027-01-01"), ("June 2026", "2026-06-01"), ("20260704", "2026-07-04"), ("rolling", None)]
+    rows = spark.createDataFrame(cases, "x string, e string").select(parsing.day(F.col("x"), "2026-01-02").cast("string").alias("d"), "e").collect()
+    assert [r["d"] for r in rows] == [r["e"] for r in rows]
+
+
+def test_terms_stand_for_those_they_begin_with(spark):
+    rows = spark.createDataFrame([("In Greater Chicago and cook county, not bookcook",), ("The King-fisher; king county",), (None,)], "t string")
+    assert [r[0] for r in rows.select(labels.metros_in(F.col("t"))).collect()] == [["chicago"], ["seattle"], []]
+    assert [r[0] for r in rows.select(labels.first_metro(F.col("t"))).collect()] == ["chicago", "seattle", None]
+
+
 def test_repair_takes_the_first_that_is_alive(spark):
     rows = [(1, "Acme", "http://a.org/x", False), (2, "Acme", "http://b.org/x", False), (3, "The Acme Fund", "http://c.org/x", False), (4, "Zed", "http://d.org/x", False), (5, "", "http://d.org/x", None), (6, "q", "http://d.org", True)]
     opps = spark.createDataFrame(rows, "opp_id long, provider string, portal_url string, is_archived boolean")
