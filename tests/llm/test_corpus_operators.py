@@ -290,6 +290,26 @@ def test_leaks_of_long_and_short_items_with_words_put_in(spark):
     assert sum(x[2] for x in found) >= 0.9 * len(want)  # found by vectors, not by runs of words alone
 
 
+def test_leaks_against_all_pairs(spark):
+    """Each document with each item: the longest common subsequence around every place of the document."""
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    coded = {}
+    code = lambda t: np.array([coded.setdefault(w, len(coded)) for w in latent.words_of(t or "")], dtype=np.int32)
+    texts, wanted = {r["doc_id"]: code(r["text"]) for r in docs.collect()}, {r["item_id"]: code(r["text"]) for r in items.collect()}
+    due = set()
+    for d, text in texts.items():
+        have = Counter(text.tolist())
+        for i, item in wanted.items():
+            n = len(item)
+            if n < latent.MIN_WORDS or sum(min(c, have[w]) for w, c in Counter(item.tolist()).items()) < latent.LIKELY * n:
+                continue  # no subsequence can be that long
+            if max(latent.common_length(item, text[s : s + n + n // 4]) for s in range(0, max(1, len(text) - n // 2), max(1, n // 8))) >= latent.LIKELY * n:
+                due.add((d, i))
+    got = {(r["doc_id"], r["item_id"]): r["share"] for r in latent.leaks(docs, items).collect()}
+    assert due and due <= set(got)
+    assert all(share >= latent.POSSIBLY for share in got.values())
+
+
 def test_common_length():
     rng = random.Random(3)
     for _ in range(60):
