@@ -43,22 +43,26 @@ def as_tree(turns: DataFrame) -> DataFrame:
     return numbered.select("conv_id", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(1.0).alias("score"))
 
 
-def ancestors(tree: DataFrame) -> list[DataFrame]:
-    """For r = 0, 1, ...: (conv_id, node, up, score, depth) of all nodes of (conv_id, node, parent, score).
+def ancestors(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """(jumps, ends) of the nodes of (conv_id, node, parent, score).
 
-    up is the 2**r-th ancestor, null if there is none; score and depth are the sum and number of the nodes before it. Each
-    table is the one before joined to itself, so a tree of depth d takes log2(d) rounds, and a node has one row of
-    numbers in each. In the last table no node has an up. A parent that is missing makes its child a root.
+    jumps[r]: (conv_id, node, up, score, depth) of the nodes that have a 2**r-th ancestor, up; score and depth are the sum and number
+    of the nodes before it. ends: (conv_id, node, score, depth) of all nodes up to their root. A table is the one
+    before joined to itself, so a tree of depth d takes log2(d) rounds, and a node takes part in those that its own depth
+    needs, with one row of numbers. A parent that is missing makes its child a root.
     """
     nodes = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv_id is not null and node is not null").dropDuplicates(["conv_id", "node"])
     known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
-    first = nodes.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    out = [written(first, "ancestors")]
-    while not out[-1].where("up is not null").isEmpty():
-        above = out[-1].select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
-        more = out[-1].join(above, ["conv_id", "up"], "left")
-        out.append(written(more.select("conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")), "ancestors"))
-    return out
+    now = written(nodes.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")), "ancestors")
+    jumps, ends = [], now.where("up is null")
+    going = now.where("up is not null")
+    while not going.isEmpty():
+        jumps.append(going)
+        above = ends.unionByName(going).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
+        more = going.join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
+        now = written(more, "ancestors")
+        ends, going = ends.unionByName(now.where("up is null")), now.where("up is not null")
+    return jumps, ends.drop("up")
 
 
 def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
@@ -67,19 +71,23 @@ def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
     Branches are ranked by score (the sum of their nodes' scores, null as 0), then depth, then leaf. Only the chosen leaves'
     paths are enumerated: a stretch of a path is halved at its ancestor until stretches are nodes.
     """
-    jumps = ancestors(tree)
+    jumps, ends = ancestors(tree)
     inner = tree.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
-    leaves = jumps[-1].join(inner, ["conv_id", "node"], "left_anti")
+    leaves = ends.join(inner, ["conv_id", "node"], "left_anti")
     rank = Window.partitionBy("conv_id").orderBy(F.desc("score"), F.desc("depth"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(rank)).where(F.col("branch") <= best)
     stretch = chosen.select("conv_id", "branch", F.col("node").alias("leaf"), F.col("score").alias("path_score"), "node", F.col("depth").alias("at"), F.col("depth").alias("size"))
+    whole = None
     for r in reversed(range(len(jumps))):
         half = 2**r
         named = lambda node, at, size: F.struct(node.alias("node"), at.alias("at"), size.alias("size"))
         node, at, size = F.col("node"), F.col("at"), F.col("size")
-        cut = F.when(size > half, F.array(named(F.col("up"), at - half, size - half), named(node, at, F.lit(half).cast("long")))).otherwise(F.array(named(node, at, size)))
-        split = stretch.join(jumps[r].select("conv_id", "node", "up"), ["conv_id", "node"]).withColumn("x", F.explode(cut))
-        stretch = split.select("conv_id", "branch", "leaf", "path_score", "x.node", "x.at", "x.size")
+        stretch = written(stretch, "stretches")
+        short, cut = stretch.where(size == 1), F.array(named(F.col("up"), at - half, size - half), named(node, at, F.lit(half).cast("long")))
+        whole = short if whole is None else whole.unionByName(short)
+        split = stretch.where(size > half).join(jumps[r].select("conv_id", "node", "up"), ["conv_id", "node"]).select("conv_id", "branch", "leaf", "path_score", F.explode(cut).alias("x"))
+        stretch = split.select("conv_id", "branch", "leaf", "path_score", "x.node", "x.at", "x.size").unionByName(stretch.where((size > 1) & (size <= half)).select("conv_id", "branch", "leaf", "path_score", "node", "at", "size"))
+    stretch = stretch if whole is None else whole.unionByName(stretch)
     return stretch.drop("size")
 
 
