@@ -23,7 +23,7 @@ from meritlake.llm.tokens import pieces_for
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 #: Lengths up to a SMALL-th of the capacity are packed last, by best fit; the others are grouped into at most GROUPS sizes.
-SMALL, GROUPS = 8, 40
+SMALL, GROUPS = 8, 80
 #: Rounding up overstates how many sequences large lengths need; this share of the configurations' use leaves the rest to best fit.
 SHARE = 0.5
 
