@@ -162,7 +162,7 @@ select opp_id, case when s = 0 then 'soon' when s >= 86400 then printf('in %dd %
   'in progress' as status, {pick(["Puget Sound", "Tampa Bay", "cbsa:42660", "a place with a rather l…"], "k % 4")} as short, {pick(["Seattle-Tacoma-Bellevue", "Tampa-St. Petersburg-Clearwater", "cbsa:42660", "a place with a rather long name"], "k % 4")} as area, {pick(["42660", "", "", ""], "k % 4")} as code from g""",
     "D01_permissive_dates": """with t as (select p_partkey as k, cast(date '1999-01-01' + cast(p_partkey % 365 as int) as date) as d from part)
 select k as opp_id, cast(case when k % 7 = 6 and day(d) <= 12 then make_date(1999, day(d), month(d)) else d end as varchar) as day, case when k % 2 = 0 then 'OH' end as state from t""",
-    "C17_repair_urls": f"""with {OPPORTUNITIES}, o as (select *, lower(provider) as p, regexp_extract(portal_url, '^([A-Za-z]+://[^/?#]+)', 1) as root, cast(split_part(provider, '#', 2) as int) % 3 = 0 as root_ok from d_opps),
+    "C17_repair_urls": f"""with {OPPORTUNITIES}, o as (select *, lower(provider) as p, regexp_extract(portal_url, '^([A-Za-z]+://[^/?#]+)', 1) as root, cast(split_part(provider, '#', 2) as int) % 4 = 0 as root_ok from d_opps),
 s as (select 'brand#' || (s_suppkey % 25 + 1) as name, min(s_suppkey) as k from supplier group by 1), b as (select p, arg_min(k, case when p = name then k else 1000000 + k end) as k from (select distinct p from o), s where contains(p, name) or contains(name, p) group by p),
 a as (select o.*, b.k, case when coalesce(is_archived, false) then 'already_archived' when opp_id % 4 <> 0 then 'ok' when root_ok then 'root' when b.k % 2 = 0 then 'source' else 'archived' end as action from o left join b using (p))
 select opp_id, action, case action when 'root' then root when 'source' then 'https://s' || k || '.example.net/' else portal_url end as new_url from a""",

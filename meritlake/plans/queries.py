@@ -192,7 +192,7 @@ def crawl(spark: SparkSession, sf: str) -> DataFrame:
 def repair_urls(spark: SparkSession, sf: str) -> DataFrame:
     """Link checks of opportunities, with all suppliers as the registry of sources, under the names of the 25 brands."""
     opps = d.opportunities(spark, sf).select("opp_id", "provider", "portal_url", "is_archived")
-    roots = opps.select(web.root_of(F.col("portal_url")).alias("url")).distinct().where("cast(regexp_extract(url, 'brand([0-9]+)', 1) as int) % 3 = 0")
+    roots = opps.select(web.root_of(F.col("portal_url")).alias("url")).distinct().where("cast(regexp_extract(url, 'brand([0-9]+)', 1) as int) % 4 = 0")
     sources = d.table(spark, sf, "supplier").select(F.concat(F.lit("brand#"), (F.col("s_suppkey") % 25 + 1).cast("string")).alias("name"), F.concat(F.lit("https://s"), F.col("s_suppkey"), F.lit(".example.net/")).alias("url"), F.col("s_suppkey").alias("nth"))
     alive = opps.where("opp_id % 4 <> 0").select(F.col("portal_url").alias("url")).unionByName(roots).unionByName(sources.where("nth % 2 = 0").select("url"))
     return crawling.repaired(opps, alive.withColumn("code", F.lit(200)), sources).select("opp_id", "action", "new_url")
