@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.llm import chat, compact_windows, latent, packing, pii, quality, simhash, suffixes, token_counts, toxicity
+from meritlake.llm import chat, compact_windows, importance, latent, packing, periodic, pii, quality, simhash, suffixes, token_counts, toxicity
 from meritlake.llm.tokens import vocabulary
 
 
@@ -67,6 +67,33 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compact_windows.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, min_words=20, seed=2024)
+
+
+def with_periodic_tails(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): where h = crc32 of the id divides by ten, the words from a place on repeat the next few; a null id changes nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    said = docs.select("doc_id", "text", F.when(F.pmod(h, F.lit(10)) == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("said"), F.floor(h / 10).alias("g"))
+    at = said.withColumn("n", F.size("said")).where("n > 0").withColumn("a", F.pmod("g", F.col("n")).cast("int"))
+    of = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.pmod("g", F.lit(8))))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("said", F.col("a") + 1, F.col("p")), F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")))
+    changed = of.select("doc_id", F.array_join(F.concat(F.slice("said", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ").alias("text"))
+    return changed.unionByName(said.where("said is null or size(said) = 0").select("doc_id", "text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_periodic_tails(table(spark, sf_dir, "documents")), least=24, periods=3)
+    stronger = lambda a, b: F.when(a.length * b.period > b.length * a.period, -1).when(a.length * b.period < b.length * a.period, 1).when(a.start != b.start, F.signum(a.start - b.start).cast("int")).otherwise(F.signum(a.period - b.period).cast("int"))
+    line = lambda r: F.concat(r.start.cast("string"), F.lit(","), r.length.cast("string"), F.lit(","), r.period.cast("string"), F.lit("\n"))
+    best = found.withColumn("best", F.get(F.array_sort("runs", stronger), F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each operator's query by name."""
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f) and k[2].isdigit()}
@@ -84,6 +111,33 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) as bigint) as formatted_chars
 from said where conv_id is not null group by conv_id""",
+    "op11_importance_resampling": r"""
+with bits as (
+  select list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+said as (
+  select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as ws from documents
+  union all
+  select 'b', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') from benchmark),
+vocabulary as (select distinct unnest(ws) as w from said),
+bytes as (
+  select w, list_transform(range(1, octet_length(encode(w)) + 1), lambda k: 16 * (instr('0123456789ABCDEF', substr(hex(encode(w)), cast(2 * k - 1 as bigint), 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode(w)), cast(2 * k as bigint), 1)) - 1) as bs from vocabulary),
+bucket as (
+  select w, xor(list_reduce(list_prepend(4294967295, list_transform(bs, lambda b: cast(b as bigint))), lambda c, b: xor(c >> 8, crc[cast((xor(c, b) & 255) + 1 as bigint)])), 4294967295) % 10000 as k from bytes, bits),
+one as (select kind, id, unnest(ws) as w from said),
+hit as (select kind, id, k from one join bucket using (w)),
+s as (select k, count(*) as n from hit where kind = 'd' group by k), t as (select k, count(*) as n from hit where kind = 'b' group by k),
+sums as (select (select coalesce(sum(n), 0) from s) as s, (select coalesce(sum(n), 0) from t) as t),
+gain as (
+  select k, floor(1000 * ln((cast(coalesce(t.n, 0) + 1 as double) * cast(sums.s + 10000 as double)) / (cast(coalesce(s.n, 0) + 1 as double) * cast(sums.t + 10000 as double)))) as g
+  from s left join t using (k), sums),
+weighed as (select id, cast(floor(sum(g) / count(*)) as bigint) as weight from hit join gain using (k) where kind = 'd' group by id),
+scored as (
+  select doc_id, len(ws) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) + 0.5) / 4294967296))) as bigint) as score
+  from (select id as doc_id, ws from said where kind = 'd') left join weighed on id = doc_id),
+able as (select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as n from scored where n_features >= 20)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when rank <= 10 * n // 100 then rank end as rank
+from scored left join able using (doc_id)""",
 }
 
 
