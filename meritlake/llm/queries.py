@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meritlake.llm import chat, compact_windows, importance, latent, packing, periodic, pii, quality, simhash, suffixes, token_counts, toxicity
+from meritlake.llm import chat, compact_windows, importance, latent, packing, periodic, pii, quality, simhash, suffixes, token_counts, topk, toxicity
 from meritlake.llm.tokens import vocabulary
 
 
@@ -71,6 +71,10 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, longest=1, buckets=10_000, min_words=20, seed=2024)
 
 
+def op12_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), k=20, every=20, scale=64)
+
+
 def with_periodic_tails(docs: DataFrame) -> DataFrame:
     """(doc_id, text): where h = crc32 of the id divides by ten, the words from a place on repeat the next few; a null id changes nothing."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -111,6 +115,15 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by turn) filter (where role = 'assistant'), '')) as loss_sha256,
   cast(sum(24 + length(regexp_replace(role, '<(\\*)\|', '<\1\\|', 'g')) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) as bigint) as formatted_chars
 from said where conv_id is not null group by conv_id""",
+    "op12_top_k_search": r"""
+with whole as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as double)) as v
+  from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.v, c.v) as bigint) as score
+  from whole q join whole c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 20""",
     "op11_importance_resampling": r"""
 with bits as (
   select list_transform(range(256), lambda k: list_reduce(list_prepend(k, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
