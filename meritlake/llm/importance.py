@@ -23,11 +23,12 @@ def words(text: Column) -> Column:
 
 def features(said: Column, longest: int) -> Column:
     """All runs of 1 to longest consecutive words, each joined by one space."""
-    runs = [said]
-    for n in range(2, longest + 1):
+
+    def of_length(n: int) -> Column:
         starts = F.when(F.size(said) >= n, F.sequence(F.lit(1), F.size(said) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        runs.append(F.transform(starts, lambda k, n=n: F.array_join(F.slice(said, k, n), " ")))
-    return F.flatten(F.array(*runs)) if longest > 1 else said
+        return F.transform(starts, lambda k: F.array_join(F.slice(said, k, n), " "))
+
+    return F.flatten(F.array(said, *map(of_length, range(2, longest + 1)))) if longest > 1 else said
 
 
 def hashed(docs: DataFrame, longest: int, buckets: int) -> DataFrame:
