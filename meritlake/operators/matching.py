@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from meritlake.functions.checks import opt_float, str_list
 from meritlake.functions.labels import discipline_of, filled, level_of, lowered, metro_of, strings
+from meritlake.operators import signatures
+from meritlake.operators.signatures import LOCAL_POINTS, POINTS, Coded, coded, score_counts
 from meritlake.sources.tables import written
 
-POINTS, LOCAL_POINTS = 25, 10
-
 
 def _listed(array: Column, single: Column) -> Column:
     """The array if it has anything, else the single value if there is one."""
@@ -126,67 +126,46 @@ def with_messages(scored: DataFrame) -> DataFrame:
     return scored.withColumn("messages", F.array_union(missing, F.array_compact(notices)))
 
 
-#: What depends on labels alone, by name: columns of profiles, columns of opportunities, the test.
-RELATIONS = {
-    "gate": (["u_disciplines", "u_credentials", "u_level"], ["o_disciplines", "o_credentials", "o_levels"], lambda: discipline_gate() & credential_gate() & level_gate()),
-    "place": (["u_state", "u_metro"], ["o_states", "o_metros"], _place),
-    "group": (["u_affiliations", "u_tags"], ["o_required", "o_tags"], _belongs),
-}
-
-
-def coded(profiles: DataFrame, opportunities: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
-    """Ready profiles and opportunities with labels as numbers: (user_id, u_gpa, u_sai, place_ok, group_ok, gates, *keep), (gate, opp_id, award, min_gpa, max_sai, place, group, low).
+def coded_pairs(c: Coded, users: DataFrame, *keep: str) -> DataFrame:
+    """(user_id, opp_id, award, score, *keep): all pairs of coded profiles (users: of c, or rows of its with more columns) and opportunities that pass the gates.
 
-    Each relation numbers the combinations of labels that opportunities have; a profile has, by number, whether the test
-    holds. Only distinct combinations are compared with each other; vocabularies bound them, not rows.
-    """
-    u_cols, o_cols = ({c for r in RELATIONS.values() for c in r[k]} for k in (0, 1))
-    u = profiles.select("user_id", "u_gpa", "u_sai", *keep, *u_cols, *[F.to_json(F.struct(*cols)).alias(f"{name}_u") for name, (cols, _, _) in RELATIONS.items()])
-    o = opportunities.select("opp_id", "award", "min_gpa", "max_sai", "o_competition", *o_cols, *[F.to_json(F.struct(*cols)).alias(f"{name}_o") for name, (_, cols, _) in RELATIONS.items()])
-    u, o = written(u, "profiles"), written(o, "opportunities")  # each is read by every relation
-    users, offered = u.drop(*u_cols), o.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *[f"{name}_o" for name in RELATIONS])
-    for name, (asks, offers, met) in RELATIONS.items():
-        numbered = o.select(f"{name}_o", *offers).dropDuplicates([f"{name}_o"]).withColumn(name, F.row_number().over(Window.orderBy(f"{name}_o")) - 1)
-        asked = u.select(f"{name}_u", *asks).dropDuplicates([f"{name}_u"])
-        tested = asked.join(numbered, how="cross").select(f"{name}_u", F.struct(name, F.coalesce(met(), F.lit(False)).alias("ok")).alias("t"))
-        ok = tested.groupBy(f"{name}_u").agg(F.array_sort(F.collect_list("t")).alias("all")).select(f"{name}_u", F.transform("all", lambda t: t["ok"]).alias(f"{name}_ok"))
-        users, offered = users.join(ok, f"{name}_u", "left").drop(f"{name}_u"), offered.join(numbered.select(f"{name}_o", name), f"{name}_o").drop(f"{name}_o")
-    return users.select("user_id", "u_gpa", "u_sai", "place_ok", "group_ok", F.expr("filter(transform(gate_ok, (ok, k) -> if(ok, k, null)), k -> k is not null)").alias("gates"), *keep), offered
-
-
-def coded_pairs(users: DataFrame, offered: DataFrame, *keep: str) -> DataFrame:
-    """(user_id, opp_id, award, score, *keep): all pairs of coded() profiles and opportunities that pass the gates.
-
-    A pair costs an equi-join on its gate's number, two look-ups and two comparisons. Profiles are dealt by user_id, which
-    the join keeps where opportunities are broadcast (left to Spark, by their size); beyond that, adaptive execution
-    splits what shares a number.
+    A pair costs an equi-join on its gate's number, two bits and two comparisons. Bits join a profile's gates by its kind.
+    Profiles are dealt by user_id, which the join keeps where opportunities are broadcast (left to Spark, by their size);
+    beyond that, adaptive execution splits what shares a number.
     """
     parts = int(users.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = users.select("user_id", "u_gpa", "u_sai", "place_ok", "group_ok", *keep, "gates").repartition(parts, "user_id").withColumn("gate", F.explode("gates")).drop("gates")
-    there = F.get("place_ok", F.col("place"))
+    asked = users.select("user_id", "u_gpa", "u_sai", "u_gate", "u_place", "u_group", *keep).join(c.fit("gate"), "u_gate").drop("u_gate")
+    asked = asked.join(signatures.masks(c, "place"), "u_place", "left").join(signatures.masks(c, "group"), "u_group", "left").drop("u_place", "u_group").repartition(parts, "user_id")
     points = lambda met, n: F.when(met, n).otherwise(0)
-    score = F.least(F.lit(100), points(_gpa(), POINTS) + points(_sai(), POINTS) + points(F.get("group_ok", F.col("group")), POINTS) + points(there, F.when(F.col("low"), POINTS + LOCAL_POINTS).otherwise(POINTS)))
-    return asked.join(offered, "gate").select("user_id", "opp_id", "award", score.alias("score"), *keep)
+    there, belongs = signatures.has("place_bits", "place"), signatures.has("group_bits", "group")
+    score = F.least(F.lit(100), points(_gpa(), POINTS) + points(_sai(), POINTS) + points(belongs, POINTS) + points(there, F.when(F.col("low"), POINTS + LOCAL_POINTS).otherwise(POINTS)))
+    return asked.join(c.offered, "gate").select("user_id", "opp_id", "award", score.alias("score"), *keep)
 
 
 def eligible_pairs(profiles: DataFrame, opportunities: DataFrame) -> DataFrame:
     """(user_id, opp_id, award, score): all pairs of ready profiles and opportunities that pass the gates."""
-    return coded_pairs(*coded(profiles, opportunities))
+    c = coded(profiles, opportunities)
+    return coded_pairs(c, c.users)
+
+
+def feed_totals(profiles: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """(user_id, n, total, best, perfect) of ready profiles that may have anything: from counts by score, without pairs."""
+    counts = score_counts(coded(profiles, opportunities))
+    return counts.groupBy("user_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("score").alias("best"), F.sum(F.when(F.col("score") >= 100, F.col("n")).otherwise(0)).alias("perfect"))
 
 
-def _least_scores(pairs: DataFrame, wanted: Column) -> DataFrame:
-    """(user_id, least): the highest score such that wanted pairs of the user at least have it or more; else the lowest."""
-    counts = pairs.groupBy("user_id", "score").agg(F.count(F.lit(1)).alias("n"), F.first("wanted").alias("wanted"))
-    above = F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("score")))
-    reached = F.max(F.when(F.col("above") >= wanted, F.col("score")))
-    return counts.withColumn("above", above).groupBy("user_id").agg(F.coalesce(reached, F.min("score")).alias("least"))
+def _least_scores(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(user_id, least): the highest score such that wanted pairs of the user, (user_id, wanted), at least have it or more; else the lowest."""
+    above = counts.withColumn("above", F.sum("n").over(Window.partitionBy("user_id").orderBy(F.desc("score")))).join(wanted, "user_id")
+    reached = F.max(F.when(F.col("above") >= F.col("wanted"), F.col("score")))
+    return above.groupBy("user_id").agg(F.coalesce(reached, F.min("score")).alias("least"))
 
 
 def ranked_pairs(profiles: DataFrame, opportunities: DataFrame, dismissed: DataFrame | None = None, top: int | None = None) -> DataFrame:
     """(user_id, opp_id, award, score, rank): each profile's feed by score, then award, both falling, then opp_id.
 
-    dismissed: (user_id, opp_id) pairs to leave out. top: the length of a feed, if it is limited; then pairs are first
-    counted by score, so that only those that can be among the top are sorted.
+    dismissed: (user_id, opp_id) pairs to leave out. top: the length of a feed, if it is limited; then counts by score
+    say which score a pair must have to be among the top, and only such pairs are sorted.
     """
     u, o = ready_profiles(profiles), ready_opportunities(opportunities)
     if dismissed is not None:
@@ -194,14 +173,15 @@ def ranked_pairs(profiles: DataFrame, opportunities: DataFrame, dismissed: DataF
     if top is None:
         pairs = eligible_pairs(u, o)
     else:
-        users, offered = (written(df, "coded") for df in coded(u, o))  # both are read twice
-        wanted = users.withColumn("wanted", F.lit(top))
+        c = coded(u, o)
+        wanted = c.users.withColumn("wanted", F.lit(top))
         if dismissed is not None:  # as many more as may be left out
             gone = dismissed.groupBy("user_id").agg(F.count(F.lit(1)).alias("gone"))
-            wanted = users.join(gone, "user_id", "left").withColumn("wanted", top + F.coalesce("gone", F.lit(0))).drop("gone")
-        least = _least_scores(coded_pairs(wanted, offered, "wanted"), F.col("wanted"))
+            wanted = c.users.join(gone, "user_id", "left").withColumn("wanted", top + F.coalesce("gone", F.lit(0))).drop("gone")
+        least = _least_scores(score_counts(c), wanted.select("user_id", "wanted"))
         kept = ["least"] if dismissed is None else ["least", "wanted"]
-        pairs = coded_pairs(wanted.join(least, "user_id"), offered, *kept).where("score >= least").drop("least")
+        known = written(wanted.join(least, "user_id"), "least")  # a table, or else the few rows that counting ends with would be one task
+        pairs = coded_pairs(c, known, *kept).where("score >= least").drop("least")
     order = Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc(F.coalesce("award", F.lit(0))), "opp_id")
     place = F.row_number().over(order)
     if dismissed is not None:
@@ -246,6 +226,5 @@ FORM = {
 def preview(forms: DataFrame, opportunities: DataFrame) -> DataFrame:
     """(user_id, projected_count, projected_funding_total) for partly filled profiles; opportunities without an archive flag do not count."""
     whole = forms.select("user_id", *[F.col(c) if c in forms.columns else F.lit(None).cast(kind).alias(c) for c, kind in FORM.items()])
-    pairs = eligible_pairs(ready_profiles(whole), ready_opportunities(opportunities.where("not is_archived")))
-    counted = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("award", F.lit(0))).cast("long").alias("total"))
+    counted = feed_totals(ready_profiles(whole), ready_opportunities(opportunities.where("not is_archived"))).select("user_id", "n", "total")
     return forms.select("user_id").join(counted, "user_id", "left").select("user_id", F.coalesce("n", F.lit(0)).alias("projected_count"), F.coalesce("total", F.lit(0)).alias("projected_funding_total"))

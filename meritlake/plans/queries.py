@@ -58,8 +58,7 @@ def whole_tiered_feed(spark: SparkSession, sf: str) -> DataFrame:
 
 def feed_totals(spark: SparkSession, sf: str) -> DataFrame:
     """How many opportunities a profile may have, what they are worth, and its best score."""
-    feed = matching.eligible_pairs(matching.ready_profiles(d.profiles(spark, sf)), matching.ready_opportunities(d.opportunities(spark, sf)))
-    return feed.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("award").cast("long").alias("total"), F.max("score").alias("best"), F.count_if(F.col("score") >= 100).alias("perfect"))
+    return matching.feed_totals(matching.ready_profiles(d.profiles(spark, sf)), matching.ready_opportunities(d.opportunities(spark, sf)))
 
 
 def planner(spark: SparkSession, sf: str) -> DataFrame:

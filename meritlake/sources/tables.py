@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,28 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+#: A row's place within its task is in so many lower bits of the number that Spark gives it.
+_IN_TASK = 33
+
+
+def numbered(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """df, written, with numbers from 0 on without gaps for the rows of each key; only the sizes of tasks by key meet in the driver."""
+    held = written(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    task = F.shiftright("_row", _IN_TASK)
+    sizes = held.groupBy(*keys, task.alias("_task")).agg(F.count(F.lit(1)).alias("n")).collect()
+    before: dict[tuple, int] = {}
+    starts = []
+    for r in sorted(sizes, key=lambda r: r["_task"]):
+        key = tuple(r[k] for k in keys)
+        starts.append((*key, r["_task"], before.get(key, 0)))
+        before[key] = before.get(key, 0) + r["n"]
+    if not starts:
+        return held.select(*df.columns, F.lit(0).cast("long").alias(name))
+    offsets = df.sparkSession.createDataFrame(starts, df.select(*keys).schema.add("_task", "long").add("_before", "long"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_task").orderBy("_row")) - 1
+    return held.withColumn("_task", task).join(F.broadcast(offsets), [*keys, "_task"]).withColumn(name, F.col("_before") + within).select(*df.columns, name)
+
+
 def discard(df: DataFrame) -> None:
     """Remove what written() wrote for df, once all that reads it has been written itself."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
