@@ -31,11 +31,14 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def least_hashed(df: DataFrame, n: int, *cols: str) -> DataFrame:
     """A sample: the n rows with the least hash of cols among those of a share of the hashes that holds about 2 n rows.
 
-    The share keeps what each task sends for the choice in proportion to n, not to n times the tasks.
+    The share keeps what each task sends for the choice in proportion to n, not to n times the tasks. Where many rows share
+    cols, so that the share holds less than half of n, all hashes count.
     """
-    share = max(1, df.count() // (2 * n))
-    h = F.xxhash64(*cols)
-    return df.where(F.pmod(h, F.lit(share)) == 0).orderBy(h, *cols).limit(n)
+    share, h = max(1, df.count() // (2 * n)), F.xxhash64(*cols)
+    some = df.where(F.pmod(h, F.lit(share)) == 0)
+    if share > 1 and some.limit(-(-n // 2)).count() < n / 2:
+        some = df
+    return some.orderBy(h, *cols).limit(n)
 
 
 def by_batch(

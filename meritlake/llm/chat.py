@@ -49,9 +49,10 @@ def ancestors(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     jumps[r]: (conv_id, node, up, score, depth) of the nodes that have a 2**r-th ancestor, up; score and depth are the sum and number
     of the nodes before it. ends: (conv_id, node, score, depth) of all nodes up to their root. A table is the one
     before joined to itself, so a tree of depth d takes log2(d) rounds, and a node takes part in those that its own depth
-    needs, with one row of numbers. A parent that is missing makes its child a root.
+    needs, with one row of numbers. A parent that is missing makes its child a root. A round after which no more nodes have
+    reached a root is the last: what still goes on leads into a cycle of parents and has no root, so it is in no path.
     """
-    nodes = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).where("conv_id is not null and node is not null").dropDuplicates(["conv_id", "node"])
+    nodes = tree.select("conv_id", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select("conv_id", F.col("node").alias("parent"), F.lit(True).alias("there"))
     now = written(nodes.join(known, ["conv_id", "parent"], "left").select("conv_id", "node", F.when(F.col("there"), F.col("parent")).alias("up"), "score", F.lit(1).cast("long").alias("depth")), "ancestors")
     jumps, ends = [], now.where("up is null")
@@ -61,15 +62,23 @@ def ancestors(tree: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         above = ends.unionByName(going).select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("score").alias("score2"), F.col("depth").alias("depth2"))
         more = going.join(above, ["conv_id", "up"]).select("conv_id", "node", F.col("up2").alias("up"), (F.col("score") + F.col("score2")).alias("score"), (F.col("depth") + F.col("depth2")).alias("depth"))
         now = written(more, "ancestors")
+        if now.where("up is null").isEmpty():
+            break
         ends, going = ends.unionByName(now.where("up is null")), now.where("up is not null")
     return jumps, ends.drop("up")
 
 
+def _once(tree: DataFrame) -> DataFrame:
+    """One whole row for each node, written, so that all that reads it has the same one; rows without conv_id or node are left out."""
+    rows = tree.select("conv_id", "node", "parent", "role", "text", "score").where("conv_id is not null and node is not null")
+    return written(rows.dropDuplicates(["conv_id", "node"]), "tree")
+
+
 def best_paths(tree: DataFrame, best: int = 1) -> DataFrame:
     """(conv_id, branch, leaf, path_score, at, node): the best root-to-leaf paths of each tree, a row for each node, at from 1 at the root.
 
     Branches are ranked by score (the sum of their nodes' scores, null as 0), then depth, then leaf. Only the chosen leaves'
-    paths are enumerated: a stretch of a path is halved at its ancestor until stretches are nodes.
+    paths are enumerated: a stretch of a path is halved at its ancestor until stretches are nodes. tree has a row for each node.
     """
     jumps, ends = ancestors(tree)
     inner = tree.where("parent is not null").select("conv_id", F.col("parent").alias("node")).distinct()
@@ -95,12 +104,13 @@ def format_paths(tree: DataFrame, best: int = 1, loss_role: str = "assistant") -
     """(conv_id, branch, leaf, score, n_turns, formatted, loss_spans): the best paths of each tree as one text each.
 
     tree: (conv_id, node, parent, role, text, score); rows with a null conv_id or node belong to no tree and are left out,
-    other columns are ignored, and of rows with one node one counts. A turn is OPEN role newline text CLOSE newline.
+    other columns are ignored, and of rows with one node one counts, whole. Nodes that lead into a cycle of parents are left out. A turn is OPEN role newline text CLOSE newline.
     loss_spans are the places (start from 0, length, in code points) of the loss_role's texts in formatted. An empty tree
     table gives no rows.
     """
+    tree = _once(tree)
     steps = best_paths(tree, best)
-    said = tree.dropDuplicates(["conv_id", "node"]).select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = tree.select("conv_id", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     head = F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit("\n"))
     turn = F.struct("at", head.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == loss_role).alias("loss"))
     turns = (

@@ -140,12 +140,14 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
 
     labels: (doc_id, quality); rows with a null in either are not used. The forest is fitted on fit_rows documents at
     most; its threshold is set on all labelled documents, by counts of scores in steps of a thousandth. Null and empty
-    texts have no words and fail the base rules. Repeated rows are judged each; an empty table gives an empty one.
+    texts have no words and fail the base rules. Repeated rows are judged each; an empty table gives an empty one. With fewer
+    than two documents of words enough there is nothing to compare, and the base rules alone decide.
     """
     stats = written(rule_statistics(docs), "statistics")
     sample = least_hashed(stats.where(F.col("n_words") >= MIN_WORDS), fit_rows, "doc_id", "n_words").select("features").collect()
-    if not sample:
-        return stats.drop("features").withColumns({"base_failed": F.lit(True), "anomaly": F.lit(0.5), "kept": F.lit(False)})
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    if len(sample) < 2:  # nothing to compare with
+        return stats.drop("features").withColumns({"base_failed": failed, "anomaly": F.lit(0.5), "kept": ~failed})
     forest = stats.sparkSession.sparkContext.broadcast(Forest(np.array([r[0] for r in sample])))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -161,5 +163,4 @@ def judged(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Data
         .agg(F.sum(F.when(F.col("quality") > 0, 1).otherwise(0)).alias("clean"), F.sum(F.when(F.col("quality") > 0, 0).otherwise(1)).alias("bad")).collect()
     )
     threshold = best_threshold([tuple(r) for r in bins])
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("kept", ~failed & (step < threshold))

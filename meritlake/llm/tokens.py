@@ -42,7 +42,6 @@ class Pieces:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self._packed = _Packers()
@@ -95,7 +94,9 @@ class Pieces:
         """The text's pieces; each but the first stood behind one space, or begins with the line break it stood behind."""
         if not text:
             return []
-        if len(text.split()) == text.count(" ") + text.count("\n") + 1:  # no white space next to other, and none but these two
+        words = text.split()
+        gaps = len(words) - 1
+        if text.count(" ") + text.count("\n") == gaps and sum(map(len, words)) + gaps == len(text):  # one character between words, and none but these two
             return text.replace("\n", " \n").split(" ")
         return _BREAK.split(text)
 

@@ -52,6 +52,15 @@ def test_texts_come_back_from_any_control_strings(spark):
     assert chat.format_paths(chat.as_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
+def test_cycles_end_and_repeated_nodes_count_once_and_whole(spark):
+    rows = [(1, 1, 2, "user", "a", 1.0), (1, 2, 1, "user", "b", 1.0), (1, 3, 2, "user", "below the cycle", 1.0), (1, 4, 4, "user", "its own parent", 1.0)]
+    rows += [(1, 10, None, "user", "root", 1.0), (1, 11, 10, "assistant", "leaf", 1.0), (2, 1, None, "user", "x", 1.0), (2, 1, None, "assistant", "yy", 5.0)]
+    tree = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, node long, parent long, role string, text string, score double, formatted int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_paths(tree, best=9)).collect()}
+    assert set(got) == {1, 2} and [tuple(t) for t in got[1]["turns"]] == [("user", "root"), ("assistant", "leaf")]
+    assert (tuple(got[2]["turns"][0]), got[2]["score"]) in [(("user", "x"), 1.0), (("assistant", "yy"), 5.0)]
+
+
 def test_paths_of_a_tree(spark):
     rng = random.Random(2)
     nodes = [(1, k, None if k == 0 else rng.randrange(k), "user", f"t{k}", float(k % 3)) for k in range(60)] + [(2, 5, 99, "user", "orphan", None)]

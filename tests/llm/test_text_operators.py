@@ -44,9 +44,7 @@ def docs(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(vocabulary())
 
 
 # tokens
@@ -58,7 +56,6 @@ def test_pieces_are_the_tokenizers_tokens(text):
     from tokenizers import Tokenizer
 
     t = test_pieces_are_the_tokenizers_tokens.__dict__.setdefault("t", Tokenizer.from_file(vocabulary()))
-    t.encode_special_tokens = True
     found = t.encode(text, add_special_tokens=False)
     ids, places = (test_pieces_are_the_tokenizers_tokens.__dict__.setdefault(k, Pieces(vocabulary(), spans=k == "p")) for k in "ip")
     cut = Pieces.cut(text)
@@ -68,6 +65,19 @@ def test_pieces_are_the_tokenizers_tokens(text):
     assert [tuple(p) for p in places.places(cut).tolist()] == found.offsets
 
 
+def test_pieces_of_all_kinds_of_white_space(tokenizer):
+    rng = random.Random(4)
+    parts = [*" \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u3000", *"aZ.,1é日'", "word", "<|endoftext|>", "  ", "\n\n", "'s"]
+    texts = ["a\tb\tc\n\n", "<|endoftext|>", "a <|endoftext|>\nb", *("".join(rng.choices(parts, k=rng.randrange(12))) for _ in range(5000))]
+    ids, places = Pieces(vocabulary()), Pieces(vocabulary(), spans=True)
+    for text, found in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        cut = Pieces.cut(text)
+        ids.learn([cut])
+        places.learn([cut])
+        assert np.frombuffer(ids.ids(cut), "<u4").tolist() == found.ids, repr(text)
+        assert [tuple(p) for p in places.places(cut).tolist()] == found.offsets, repr(text)
+
+
 def test_section_tokens(docs, odd, none, tokenizer):
     rows = token_counts.section_tokens(docs.where("doc_id < 40").unionByName(odd.select("doc_id", "text"), allowMissingColumns=True), vocabulary()).collect()
     texts = [(r["doc_id"], r["text"]) for r in docs.where("doc_id < 40").collect()] + [(r["doc_id"], r["text"]) for r in odd.collect()]
@@ -270,6 +280,17 @@ def test_quality(spark, docs, odd, none):
     assert quality.judged(none, labels).count() == 0 and quality.judged(odd, labels.where("quality is null")).count() == odd.count()
 
 
+def test_rows_that_share_one_key_are_judged_by_their_words(spark):
+    good = "one two three four five six seven eight nine ten eleven twelve"
+    rows = spark.createDataFrame([(1, good)] * 2000 + [(2, "few words")], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    for fit_rows in (20, 50):
+        got = quality.judged(rows, labels, fit_rows).groupBy("n_words", "base_failed", "kept").count().collect()
+        assert sorted(map(tuple, got)) == [(2, True, False, 1), (12, False, True, 2000)]
+    got = quality.judged(rows.limit(1).unionByName(rows.where("doc_id = 2")), labels).select("doc_id", "base_failed", "kept").collect()
+    assert sorted(map(tuple, got)) == [(1, False, True), (2, True, False)]
+
+
 def test_threshold():
     assert quality.best_threshold([(0.3, 90, 0), (0.6, 0, 9), (0.5, 0, 1)]) == 0.5
     assert quality.best_threshold([(0.3, 5, 0)]) == quality.DEFAULT_THRESHOLD and quality.best_threshold([(0.3, 90, 0), (0.6, 50, 1)]) > 1
