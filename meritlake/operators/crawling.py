@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from meritlake.functions import web
 from meritlake.functions.labels import metros_in, strings, terms_in
 from meritlake.functions.parsing import residency
-from meritlake.sources.tables import written
 from meritlake.functions.vocabulary import CONTENT_WORDS, EMPLOYER_POINTS, EMPLOYER_WORDS, LOCAL_POINTS, LOCAL_WORDS, METRO_POINTS, NEGATIVE_PATHS, REGION_POINTS, REGION_WORDS
+from meritlake.sources.tables import written
+from meritlake.sources.versions import Versions
 
 BATCH, RECRAWL_DAYS = 20, 7
 
@@ -58,7 +59,11 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, cap:
             found, used = found.join(spent, "domain", "left"), F.coalesce("spent", F.lit(0))
         turn = F.sum(F.col("ok").cast("int")).over(Window.partitionBy("domain").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
         outcome = F.when(F.coalesce(turn, F.lit(0)) + used >= cap, "capped").when(F.col("ok"), "fetched").otherwise("failed")
-        taken = written(found.withColumn("outcome", outcome).select("node", "domain", "depth", "place", "outcome"), "crawl")
+        cols = ["node", "domain", "depth", "place", "outcome"]
+        # an address without a page has no domain and can only fail; most links of a crawl are such, and need no order
+        paged = F.col("ok") | F.col("domain").isNotNull()
+        placed = found.where(paged).withColumn("outcome", outcome).select(cols)
+        taken = written(placed.unionByName(found.where(~paged).withColumn("outcome", F.lit("failed" if cap > 0 else "capped")).select(cols)), "crawl")
         seen = taken if seen is None else seen.unionByName(taken)
         if d == depth:
             break
@@ -68,10 +73,15 @@ def crawl(pages: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int, cap:
     return seen.select("node", "depth", "place", "outcome")
 
 
+def due_seeds(seeds: DataFrame, as_of: str, days: int = RECRAWL_DAYS) -> DataFrame:
+    """Queued seeds, and crawled ones not seen for days."""
+    stale = (F.col("status") == "crawled") & (F.col("last_crawled_on") < F.date_sub(F.lit(as_of).cast("date"), days))
+    return seeds.where((F.col("status") == "queued") | stale)
+
+
 def next_seeds(seeds: DataFrame, as_of: str, limit: int = BATCH, days: int = RECRAWL_DAYS) -> DataFrame:
     """The next seeds to crawl: queued ones, and crawled ones not seen for days; by priority, those seen longest ago or never first, then url."""
-    stale = (F.col("status") == "crawled") & (F.col("last_crawled_on") < F.date_sub(F.lit(as_of).cast("date"), days))
-    return seeds.where((F.col("status") == "queued") | stale).orderBy(F.desc("priority"), F.asc_nulls_first("last_crawled_on"), "url").limit(limit)
+    return due_seeds(seeds, as_of, days).orderBy(F.desc("priority"), F.asc_nulls_first("last_crawled_on"), "url").limit(limit)
 
 
 def after_crawl(seeds: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
@@ -199,3 +209,24 @@ def verified(links: DataFrame, codes: DataFrame) -> DataFrame:
     both = full.join(good, "full", "left").join(good.select(F.col("full").alias("source"), F.col("full_ok").alias("source_ok")), "source", "left")
     own, other = F.coalesce("full_ok", F.lit(False)), F.coalesce("source_ok", F.lit(False))
     return both.withColumn("final_url", F.when(~own & other, F.col("source")).otherwise(F.col("full"))).withColumn("is_valid", own | other).drop("full", "full_ok", "source_ok")
+
+
+def crawled_queue(store: Versions, pages: DataFrame, links: DataFrame, as_of: str, batch: int | None = None) -> DataFrame:
+    """The seeds of a store after rounds until none is due: the next ones are crawled and marked, and hubs among their links queued.
+
+    store has the table seeds (url, status, priority, error_count, last_crawled_on); pages: (url) that answer; links: (url,
+    target). A round takes batch seeds, or all that are due. Each round is a step of the store, so a run that broke off
+    goes on from its last whole round, and a round that is taken again changes nothing. The rounds are as many as links
+    between hubs are deep, or as there are batches.
+    """
+    alive = pages.select("url", F.lit(True).alias("alive")).distinct()
+    while True:
+        seeds = store.read("seeds")
+        due = written(next_seeds(seeds, as_of, limit=batch) if batch else due_seeds(seeds, as_of), "due")
+        if due.isEmpty():
+            return seeds
+        outcomes = written(due.select("url").join(alive, "url", "left").select("url", F.coalesce("alive", F.lit(False)).alias("success")), "outcomes")
+        found = outcomes.where("success").join(links, "url").select(F.col("target").alias("url"), F.col("url").alias("parent"))
+        queued = new_hubs(found, seeds).select("url", F.lit("queued").alias("status"), F.lit(0).alias("priority"), F.lit(0).alias("error_count"), F.lit(None).cast("date").alias("last_crawled_on"))
+        after = after_crawl(seeds, outcomes, as_of).unionByName(queued)
+        store.commit(store.current()["step"] + 1, replace={"seeds": after.select([F.col(c).cast(t) for c, t in seeds.dtypes])})

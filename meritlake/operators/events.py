@@ -27,21 +27,33 @@ def subscriptions(events: DataFrame) -> DataFrame:
     )
 
 
-def billed(profiles: DataFrame, events: DataFrame) -> DataFrame:
-    """(seq, user_id, outcome, status) of billing events (seq, kind, meta_user, customer, subscription, state, reason).
+def named_events(profiles: DataFrame, events: DataFrame) -> DataFrame:
+    """Billing events (seq, kind, meta_user, customer, subscription, state, reason) with named: whether the user they name has a profile."""
+    users = profiles.select(F.col("user_id").alias("meta_user"), F.lit(True).alias("named")).distinct()
+    return events.join(users, "meta_user", "left").withColumn("named", F.coalesce("named", F.lit(False)))
 
-    An event is that of the user it names, else of the customer's, else (deleted only) of the subscription's; created
-    events tell whose customer and subscription are, before later ones. A customer belongs to one user, the first. Outcomes:
-    updated, renewed (cycle invoices only), downgraded, dunning_sent, no_profile, ignored. profiles: (user_id, customer).
-    """
-    users = profiles.select(F.col("user_id").alias("meta_user"), F.lit(True).alias("named"))
-    ours = events.join(users, "meta_user", "left").withColumn("named", F.coalesce("named", F.lit(False)))
-    made = ours.where("kind = 'created' and named")
-    first = lambda rows, key: rows.where(f"{key} is not null").groupBy(key).agg(F.min_by("owner", "since").alias(f"{key}_owner"), F.min("since").alias(f"{key}_since"))
-    start = profiles.select("customer", F.col("user_id").alias("owner"), F.lit(-1).cast("long").alias("since"))
-    customers = first(start.unionByName(made.select("customer", F.col("meta_user").alias("owner"), F.col("seq").alias("since"))), "customer")
-    subs = first(made.select("subscription", F.col("meta_user").alias("owner"), F.col("seq").alias("since")), "subscription")
-    found = ours.join(customers, "customer", "left").join(subs, "subscription", "left")
+
+def account_links(named: DataFrame) -> DataFrame:
+    """(of, key, owner, since): whose each customer and subscription is, by the first created event that names a user with a profile."""
+    made = named.where("kind = 'created' and named")
+    each = [made.where(f"{of} is not null").select(F.lit(of).alias("of"), F.col(of).alias("key"), F.col("meta_user").alias("owner"), F.col("seq").alias("since")) for of in ("customer", "subscription")]
+    return first_links(each[0].unionByName(each[1]))
+
+
+def profile_links(profiles: DataFrame) -> DataFrame:
+    """The links that profiles (user_id, customer) begin with, before all events."""
+    return profiles.where("customer is not null").select(F.lit("customer").alias("of"), F.col("customer").alias("key"), F.col("user_id").alias("owner"), F.lit(-1).cast("long").alias("since"))
+
+
+def first_links(links: DataFrame) -> DataFrame:
+    """The first link of each customer and subscription."""
+    return links.groupBy("of", "key").agg(F.min_by("owner", F.struct("since", "owner")).alias("owner"), F.min("since").alias("since"))
+
+
+def resolved(named: DataFrame, links: DataFrame) -> DataFrame:
+    """(seq, user_id, outcome, status) of named_events(), by links that are older than an event."""
+    of = lambda key: links.where(F.col("of") == key).select(F.col("key").alias(key), F.col("owner").alias(f"{key}_owner"), F.col("since").alias(f"{key}_since"))
+    found = named.join(of("customer"), "customer", "left").join(of("subscription"), "subscription", "left")
     kind = F.col("kind")
     by_customer = F.when(F.col("customer_since") < F.col("seq"), F.col("customer_owner"))
     by_sub = F.when((kind == "deleted") & (F.col("subscription_since") < F.col("seq")), F.col("subscription_owner"))
@@ -52,6 +64,17 @@ def billed(profiles: DataFrame, events: DataFrame) -> DataFrame:
     return found.select("seq", F.when(~skipped, user).alias("user_id"), outcome.alias("outcome"), F.when(~skipped & user.isNotNull(), status).alias("status"))
 
 
+def billed(profiles: DataFrame, events: DataFrame) -> DataFrame:
+    """(seq, user_id, outcome, status) of billing events (seq, kind, meta_user, customer, subscription, state, reason).
+
+    An event is that of the user it names, else of the customer's, else (deleted only) of the subscription's; created
+    events tell whose customer and subscription are, before later ones. A customer belongs to one user, the first. Outcomes:
+    updated, renewed (cycle invoices only), downgraded, dunning_sent, no_profile, ignored. profiles: (user_id, customer).
+    """
+    named = named_events(profiles, events)
+    return resolved(named, first_links(profile_links(profiles).unionByName(account_links(named))))
+
+
 def billed_profiles(billed_events: DataFrame) -> DataFrame:
     """(user_id, tier, status, n_events): what all of a user's billed events leave; created counts as premium only if active or trialing."""
     e = billed_events.where("user_id is not null")

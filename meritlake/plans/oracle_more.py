@@ -120,6 +120,18 @@ c_seeds as (select node, node as pos from c_pages where node % 3 = 0), {crawl_sq
     "C11_crawl_run": f"with {RUN} select url, title, relevance, depth, state, metros, action from run",
     "G10_crawl_stats": f"""with {RUN} select (select count(*) from taken where outcome = 'fetched') as pages_crawled, (select count(*) from taken where outcome = 'failed') as errors, (select count(distinct {DOMAIN.format("node")}) from taken where outcome = 'fetched') as domains,
   count(*) as candidates, count(*) filter (where action = 'ingested') as ingested, count(*) filter (where action = 'duplicate') as duplicate, count(*) filter (where action = 'incomplete') as incomplete from run""",
+    "C15_queue_loop": f"""with recursive {SEEDS}, n as (select count(*) as n from pages),
+own as (select page_id as k, {URL} as url, 'https://h' || (page_id % 7) || '.example.edu/grants/' || page_id as hub from pages),
+alive as (select url from own union select hub from own where k % 3 <> 0),
+targets as (select url, (k * 2 + 1) % n as t from own, n where k % 2 = 1 union all select hub, unnest([(k * 5 + 3) % n, (k * 7 + 1) % n]) from own, n where k % 2 = 0),
+links as (select url, 'https://h' || (t % 7) || '.example.edu/grants/' || t as target from targets),
+reach as (
+  select url from d_seeds where status = 'queued' or (status = 'crawled' and seen < date '1998-05-25')
+  union select target from reach join alive using (url) join links using (url) where target not in (select url from d_seeds)),
+met as (select coalesce(s.url, r.url) as url, r.url is not null as hit, status, priority, error_count, seen from d_seeds s full outer join reach r on s.url = r.url)
+select b.url, case when not hit then status when a.url is not null then 'crawled' else 'failed' end as status, cast(coalesce(priority, 0) as int) as priority,
+  cast(case when not hit then error_count when a.url is not null then 0 else coalesce(error_count, 0) + 1 end as int) as error_count, cast(case when hit then date '1998-06-01' else seen end as varchar) as last_crawled_on
+from met b left join alive a on a.url = b.url""",
     "C15_queue_run": f"""with {NEXT}, got as (select b.url, b.url in (select {URL} from pages) as ok from batch b), verdict as (select count(*) filter (where not ok) < count(*) as success from got), hubs as (select distinct regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]+)', 1) || '/grants/' as url from pages where page_id % 5 = 0)
 select s.url, case when b.url is null then status when success then 'crawled' else 'failed' end as status, cast(priority as int) as priority, cast(case when b.url is null then error_count when success then 0 else error_count + 1 end as int) as error_count, cast(case when b.url is null then seen else date '1998-06-01' end as varchar) as last_crawled_on
 from d_seeds s left join batch b on b.url = s.url, verdict union all select url, 'queued', 0, 0, null from hubs where url not in (select url from d_seeds)""",
@@ -169,3 +181,6 @@ select opp_id, action, case action when 'root' then root when 'source' then 'htt
     "U03_resolved_links": f"""with p as (select page_id, regexp_extract(trim(url), '^([A-Za-z]+://[^/?#]+)', 1) as root from pages)
 select page_id, case page_id % 8 when 0 then root || '/a/d' when 1 then root || '/a/b/e?y=2' when 2 then root || '/f/' when 3 then root || '/a/b/c.html?x=1' when 4 then split_part(root, '/', 1) || '//h.org/g' when 5 then root || '/a/b/c.html?z' when 6 then root || '/j' else root || '/a/b/k' end as address from p""",
 }
+
+#: What a stream of batches leaves is what all events at once do.
+ORACLE_MORE["B03_billing_stream"] = ORACLE_MORE["B03_billed_profiles"]

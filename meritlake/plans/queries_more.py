@@ -13,6 +13,8 @@ from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
 from meritlake.sources import readers
 from meritlake.sources.tables import folder
+from meritlake.sources.versions import Versions
+from meritlake.streaming import billing
 
 _joined = lambda c, by=",": F.array_join(c, by)
 
@@ -115,9 +117,12 @@ def _billing(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return d.profiles(spark, sf).select("user_id", F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("cus_"), F.col("user_id"))).alias("customer"))
+
+
 def _billed(spark: SparkSession, sf: str) -> DataFrame:
-    users = d.profiles(spark, sf).select("user_id", F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("cus_"), F.col("user_id"))).alias("customer"))
-    return events.billed(users, _billing(spark, sf))
+    return events.billed(_customers(spark, sf), _billing(spark, sf))
 
 
 def billed_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,6 +135,19 @@ def billed_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return events.billed_profiles(_billed(spark, sf))
 
 
+def billing_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """B03 as a stream: the same events dealt to batches in no order, every seventh of them twice, and what they leave."""
+    home = folder(spark, "billing")
+    mixed = _billing(spark, sf).repartition(6, F.xxhash64("seq"))
+    mixed.unionByName(mixed.where("seq % 7 = 0")).write.parquet(f"{home}/events")
+    source = spark.readStream.schema(mixed.schema).option("maxFilesPerTrigger", 3).parquet(f"{home}/events")
+    users, store = _customers(spark, sf), Versions(spark, f"{home}/tables")
+    billing.begin(store, users)
+    run = source.writeStream.foreachBatch(billing.taker(store, users)).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return events.billed_profiles(billing.settled(store))
+
+
 def receipts(spark: SparkSession, sf: str) -> DataFrame:
     """The receipt of each purchase: first name, amount, text."""
     users = d.profiles(spark, sf).select("user_id", F.when(F.col("user_id") % 8 != 0, F.replace("full_name", F.lit("#"), F.lit(" "))).alias("name"))
@@ -210,6 +228,20 @@ def queue_run(spark: SparkSession, sf: str) -> DataFrame:
     return crawling.after_queue_run(seeds, batch, stats, hubs, AS_OF).select("url", "status", "priority", "error_count", F.col("last_crawled_on").cast("string").alias("last_crawled_on"))
 
 
+def queue_loop(spark: SparkSession, sf: str) -> DataFrame:
+    """The seeds after rounds until the queue is dry; pages lead to hubs, and hubs to others, some of which do not answer."""
+    pages, seeds = d.table(spark, sf, "pages"), d.seeds(spark, sf)
+    n, k, url = F.lit(pages.count()), F.col("page_id"), F.regexp_replace(F.trim("url"), "#.*$", "")
+    hub = lambda t: F.concat(F.lit("https://h"), t % 7, F.lit(".example.edu/grants/"), t)
+    alive = pages.select(url.alias("url")).unionByName(pages.where("page_id % 3 <> 0").select(hub(k).alias("url")))
+    own = pages.where("page_id % 2 = 1").select(url.alias("url"), hub((k * 2 + 1) % n).alias("target"))
+    far = pages.where("page_id % 2 = 0").select(hub(k).alias("url"), F.explode(F.array(hub((k * 5 + 3) % n), hub((k * 7 + 1) % n))).alias("target"))
+    store = Versions(spark, folder(spark, "queue"))
+    store.commit(0, replace={"seeds": seeds})
+    done = crawling.crawled_queue(store, alive, own.unionByName(far), AS_OF)
+    return done.select("url", "status", "priority", "error_count", F.col("last_crawled_on").cast("string").alias("last_crawled_on"))
+
+
 def portal_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The pages' facts by the rules of the portal that an address made of each calls for."""
     k = F.col("page_id")
@@ -383,7 +415,7 @@ QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S03_lookups": lookups, "S04_calendar_tokens": calendar_tokens, "S05_registry": registry, "S07_seed_files": seed_files, "S08_seed_csv": seed_csv, "K07_dismissals": dismissals, "K01_tracking_writes": tracking_writes,
     "K06_patches": tracking_patches, "K04_unseen_inserts": unseen_inserts, "J11_billed_events": billed_events, "B03_billed_profiles": billed_profiles, "K16_receipts": receipts, "K16_reengagement_mails": reengagement_mails,
     "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "G10_crawl_stats": crawl_stats,
-    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
+    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
     "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
 }
