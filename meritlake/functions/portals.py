@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from meritlake.functions import labelled
 from meritlake.functions.labels import credentials_in, disciplines_in, strings
 from meritlake.functions.parsing import amount, clean, day, split_list, state_hint
-from meritlake.functions.web import text_in, title_in
 
 # Portals in order of precedence: what the address holds, the provider, labels of award and deadline, the title and the disciplines of pages that name none, tags.
 PORTALS = [
@@ -19,7 +18,7 @@ PORTALS = [
     ("scholarship", "", ["Award", "Amount", "Value", "Prize"], ["Deadline", "Due", "Closes"], "", [], []),
 ]
 BOARD = "State Higher Education Board"
-FACTS = "heading string, publisher string, sponsor string, award string, due string, criteria string, tags string"
+FACTS = "page_title string, text string, heading string, publisher string, sponsor string, award string, due string, criteria string, tags string"
 
 
 def portal_of(url: Column) -> Column:
@@ -35,9 +34,9 @@ def _facts(html: Column, portal: Column) -> Column:
     def read(pages: pd.Series, kinds: pd.Series) -> pd.DataFrame:
         rows = []
         for h, k in zip(pages, kinds, strict=True):
-            p, h = PORTALS[int(k)], h or ""
-            rows.append((labelled.first_of(h, ("h1", "h2")), labelled.publisher_of(h), labelled.sponsor_of(h), labelled.value_of(h, p[2]), labelled.value_of(h, p[3]), labelled.criteria_of(h), labelled.value_of(h, ["Tags", "Categories"])))
-        return pd.DataFrame(rows, columns=["heading", "publisher", "sponsor", "award", "due", "criteria", "tags"])
+            page, p = labelled.Page(h), PORTALS[int(k)]  # parsed once for all that is read
+            rows.append((page.first("title"), page.visible(), page.first("h1", "h2"), page.publisher(), page.sponsor(), page.value(p[2]), page.value(p[3]), page.criteria(), page.value(["Tags", "Categories"])))
+        return pd.DataFrame(rows, columns=["page_title", "text", "heading", "publisher", "sponsor", "award", "due", "criteria", "tags"])
 
     return read(html, portal)
 
@@ -48,11 +47,11 @@ def portal_extracts(pages: DataFrame, as_of: str) -> DataFrame:
     Only the HTML itself is read in Python, as tags nest; amounts, dates and labels are columns.
     """
     known = pages.select("page_id", "url", "html", portal_of(F.col("url")).alias("k")).where("k is not null")
-    read = known.withColumn("f", _facts(F.col("html"), F.col("k"))).withColumn("whole", clean(F.concat_ws(" ", "f.criteria", title_in(F.col("html")), text_in(F.col("html")))))
+    read = known.withColumn("f", _facts(F.col("html"), F.col("k"))).withColumn("whole", clean(F.concat_ws(" ", "f.criteria", "f.page_title", "f.text")))
     by = lambda field: F.get(F.array(*[field(p) for p in PORTALS]), F.col("k"))
     blob = F.when(F.col("k") == 2, F.col("f.criteria")).otherwise(F.col("whole"))
-    page_title = clean(F.substring_index(F.substring_index(title_in(F.col("html")), "|", 1), "-", 1))
-    board = F.coalesce(F.nullif(F.col("f.publisher"), F.lit("")), F.when(title_in(F.col("html")) == "", BOARD).otherwise(page_title))
+    page_title = clean(F.substring_index(F.substring_index("f.page_title", "|", 1), "-", 1))
+    board = F.coalesce(F.nullif(F.col("f.publisher"), F.lit("")), F.when(F.col("f.page_title") == "", BOARD).otherwise(page_title))
     found = disciplines_in(blob)
     return read.select(
         "page_id", "url", by(lambda p: F.lit(p[0])).alias("portal"), F.coalesce(F.nullif(F.col("f.heading"), F.lit("")), by(lambda p: F.lit(p[4]))).alias("title"),

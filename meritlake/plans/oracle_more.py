@@ -120,6 +120,9 @@ c_seeds as (select node, node as pos from c_pages where node % 3 = 0), {crawl_sq
     "C11_crawl_run": f"with {RUN} select url, title, relevance, depth, state, metros, action from run",
     "G10_crawl_stats": f"""with {RUN} select (select count(*) from taken where outcome = 'fetched') as pages_crawled, (select count(*) from taken where outcome = 'failed') as errors, (select count(distinct {DOMAIN.format("node")}) from taken where outcome = 'fetched') as domains,
   count(*) as candidates, count(*) filter (where action = 'ingested') as ingested, count(*) filter (where action = 'duplicate') as duplicate, count(*) filter (where action = 'incomplete') as incomplete from run""",
+    "U05_page_trees": rf"""with p as (select page_id, trim(regexp_replace({_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title, {_visible("html")} as text,
+  list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*")', 1), lambda h: {_unescape("h[2:-2]")}) as links from pages)
+select page_id, title, cast(len(links) as bigint) as n_links, md5(array_to_string(links, ' ')) as links_md5, md5(text) as text_md5 from p""",
     "C15_queue_loop": f"""with recursive {SEEDS}, n as (select count(*) as n from pages),
 own as (select page_id as k, {URL} as url, 'https://h' || (page_id % 7) || '.example.edu/grants/' || page_id as hub from pages),
 alive as (select url from own union select hub from own where k % 3 <> 0),

@@ -49,6 +49,17 @@ def test_labels_in_html(spark):
     assert [r[0] for r in rows.select(labelled.criteria(F.col("h"))).collect()] == ["A B", "", ""]
 
 
+def test_pages_are_read_as_trees(spark):
+    html = """<title> A &amp; B </title><nav><a href="/in-nav">x<nav>deep</nav></a>still hidden</nav><!-- <a href="/no">no</a> --><script>var t = '<a href="/no">';</script>
+      <p>seen<p>too<header>h</header> <a HREF='/yes?a=1&amp;b=2'>link</a><footer>f<div>g</footer> end"""
+    page = labelled.Page(html)
+    assert (page.first("title"), page.links(), page.visible()) == ("A & B", ["/in-nav", "/yes?a=1&b=2"], "A & B seen too link end")
+    rows = spark.createDataFrame([(html,), (None,)], "h string").select(labelled.facts(F.col("h")).alias("f")).select("f.*").collect()
+    assert tuple(rows[0]) == ("A & B", "A & B seen too link end", ["/in-nav", "/yes?a=1&b=2"]) and tuple(rows[1]) == ("", "", [])
+    deep = labelled.Page("<div>" * 5000 + "bottom")
+    assert deep.text(1) == deep.visible() == "bottom"
+
+
 def test_shown_values(spark):
     at = spark.createDataFrame([(dt.datetime(2024, 2, 15, 12), "x" * 30, 1250)], "t timestamp, s string, c int")
     later = F.col("t") + F.expr("interval 26 hours")
