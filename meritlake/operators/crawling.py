@@ -101,6 +101,20 @@ def new_hubs(links: DataFrame, seeds: DataFrame) -> DataFrame:
     return hubs.join(seeds.select("url"), "url", "left_anti")
 
 
+def holding(texts: DataFrame, text: str, parts: DataFrame, part: str, size: int = 3) -> DataFrame:
+    """(text, part): which of distinct texts hold which of distinct parts.
+
+    A part is looked up by its rarest run of size characters (a shorter one by itself) among the texts' runs, so that only
+    texts which have it are tested. An empty part is held by every text and asks for no look-up, so it is left out.
+    """
+    runs = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda k: F.substring(c, k, F.lit(n))))
+    there = texts.select(text, F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[runs(F.col(text), n) for n in range(1, size + 1)]))))).alias("run"))
+    often = there.groupBy("run").agg(F.count(F.lit(1)).alias("often"))
+    asked = parts.where(F.length(part) > 0).select(part, F.explode(F.when(F.length(part) >= size, F.array_distinct(runs(F.col(part), size))).otherwise(F.array(part))).alias("run"))
+    rarest = asked.join(often, "run", "left").groupBy(part).agg(F.min(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "run")).alias("r")).where("r.often > 0").select(part, "r.run")
+    return there.join(rarest, "run").where(F.col(text).contains(F.col(part))).select(text, part)
+
+
 def repaired(opportunities: DataFrame, status: DataFrame, sources: DataFrame) -> DataFrame:
     """opportunities with action and portal_url after a check of links: kept if alive, else the host's root, else the provider's source, else archived.
 
@@ -115,7 +129,8 @@ def repaired(opportunities: DataFrame, status: DataFrame, sources: DataFrame) ->
     first = [F.min_by("source", "nth").alias("source"), F.min("nth").alias("nth")]
     names, domains = src.groupBy("name").agg(*first), src.groupBy("s_domain").agg(*first)
     providers = asked.select("p_name").distinct()
-    within = providers.join(names, F.col("p_name").contains(F.col("name")) | F.col("name").contains(F.col("p_name")))  # distinct names only
+    inner, outer = holding(providers, "p_name", names.select("name"), "name"), holding(names.select("name"), "name", providers, "p_name")
+    within = inner.unionByName(outer).distinct().join(names, "name")
     named = asked.join(within.withColumn("how", F.when(F.col("p_name") == F.col("name"), 0).otherwise(1)), "p_name")
     same = asked.join(domains, (asked.p_domain == domains.s_domain) & (F.col("p_domain") != "")).withColumn("how", F.lit(2))
     cols = ["p_name", "p_domain", "source", "nth", "how"]

@@ -36,3 +36,19 @@ def tickets(turns: DataFrame, users: DataFrame, most: int = MAX_TURNS) -> DataFr
     summary = F.left(F.array_join(F.col("said.text"), " "), F.lit(500))
     out = made.join(users.select("conv_id", "email"), "conv_id", "left")
     return out.select("conv_id", F.concat(F.lit("Support escalation from "), F.coalesce("email", F.lit(""))).alias("subject"), F.when(summary == "", NOTHING_SAID).otherwise(summary).alias("summary"), "n_turns", F.lit("open").alias("status"))
+
+
+def latest_tickets(asks: DataFrame, tickets: DataFrame) -> DataFrame:
+    """asks (user_id, at, ask_id) with ticket_id and opened_at of the user's latest ticket (user_id, at, ticket_id) at that time or before; null without one.
+
+    Both tables go in one order, so an ask costs no range of tickets. Of tickets of one time the largest id counts. Asks or
+    tickets without a user or a time meet nothing.
+    """
+    none = F.lit(None)
+    both = asks.select("user_id", "at", "ask_id", none.cast("long").alias("ticket_id"), F.lit(1).alias("turn")).unionByName(
+        tickets.where("user_id is not null and at is not null").select("user_id", "at", none.cast("long").alias("ask_id"), "ticket_id", F.lit(0).alias("turn"))
+    )
+    before = Window.partitionBy("user_id").orderBy("at", "turn", "ticket_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("turn") == 0, F.struct("ticket_id", F.col("at").alias("opened_at"))), ignorenulls=True).over(before)
+    met = F.when(F.col("user_id").isNotNull() & F.col("at").isNotNull(), F.col("last"))
+    return both.withColumn("last", last).where("turn = 1").select("user_id", "at", "ask_id", met["ticket_id"].alias("ticket_id"), met["opened_at"].alias("opened_at"))

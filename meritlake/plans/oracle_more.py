@@ -123,6 +123,11 @@ c_seeds as (select node, node as pos from c_pages where node % 3 = 0), {crawl_sq
     "U05_page_trees": rf"""with p as (select page_id, trim(regexp_replace({_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title, {_visible("html")} as text,
   list_transform(regexp_extract_all(html, '(?i)<a\s[^>]*?\bhref\s*=\s*("[^"]*")', 1), lambda h: {_unescape("h[2:-2]")}) as links from pages)
 select page_id, title, cast(len(links) as bigint) as n_links, md5(array_to_string(links, ' ')) as links_md5, md5(text) as text_md5 from p""",
+    "B04_ticket_histories": """with e as (select event_id, user_id, cast(ts as timestamp) as time_of, event_type from events),
+tickets as (select user_id, time_of, max(event_id) as ticket_id from e where event_type = 'error' group by user_id, time_of),
+met as (select a.event_id as ask_id, a.user_id, t.ticket_id, t.time_of as opened from (select * from e where event_type = 'click') a asof left join tickets t on a.user_id = t.user_id and a.time_of >= t.time_of),
+seen as (select conv_id, count(*) filter (where role in ('user', 'assistant') and coalesce(text, '') <> '') as n_seen from conversations group by 1)
+select ask_id, user_id, ticket_id, strftime(opened, '%Y-%m-%d %H:%M:%S') as opened_at, n_seen from met left join seen on conv_id = ticket_id % 100""",
     "C15_queue_loop": f"""with recursive {SEEDS}, n as (select count(*) as n from pages),
 own as (select page_id as k, {URL} as url, 'https://h' || (page_id % 7) || '.example.edu/grants/' || page_id as hub from pages),
 alive as (select url from own union select hub from own where k % 3 <> 0),

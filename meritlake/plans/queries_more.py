@@ -177,6 +177,16 @@ def support_histories(spark: SparkSession, sf: str) -> DataFrame:
     return asked.join(seen, "conv_id", "left").select("conv_id", "n_asked", "n", "history_md5")
 
 
+def ticket_histories(spark: SparkSession, sf: str) -> DataFrame:
+    """For each click of a user the conversation of the latest ticket that the user had opened by then (an error opens one), and the turns of it that a model would see."""
+    e = d.table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    asks, tickets = e.where("event_type = 'click'").select("user_id", "at", F.col("event_id").alias("ask_id")), e.where("event_type = 'error'").select("user_id", "at", F.col("event_id").alias("ticket_id"))
+    met = support.latest_tickets(asks, tickets).withColumn("conv_id", F.pmod("ticket_id", F.lit(100)))
+    talks = d.table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("transcript"))
+    seen = talks.select("conv_id", F.size(support.history(F.col("transcript"))).cast("long").alias("n_seen"))
+    return met.join(seen, "conv_id", "left").select("ask_id", "user_id", "ticket_id", F.date_format("opened_at", "yyyy-MM-dd HH:mm:ss").alias("opened_at"), "n_seen")
+
+
 def support_tickets(spark: SparkSession, sf: str) -> DataFrame:
     """A ticket for each conversation that is escalated (after two user turns, as these conversations are short)."""
     users = d.profiles(spark, sf).select(F.col("user_id").alias("conv_id"), "email")
@@ -421,7 +431,7 @@ QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S03_lookups": lookups, "S04_calendar_tokens": calendar_tokens, "S05_registry": registry, "S07_seed_files": seed_files, "S08_seed_csv": seed_csv, "K07_dismissals": dismissals, "K01_tracking_writes": tracking_writes,
     "K06_patches": tracking_patches, "K04_unseen_inserts": unseen_inserts, "J11_billed_events": billed_events, "B03_billed_profiles": billed_profiles, "K16_receipts": receipts, "K16_reengagement_mails": reengagement_mails,
     "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "G10_crawl_stats": crawl_stats,
-    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
+    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "B04_ticket_histories": ticket_histories, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
     "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 from collections import deque
 
 import pytest
@@ -220,3 +221,13 @@ def test_support_turns(spark):
     got = {r["conv_id"]: r for r in events.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
     assert (got[1]["turn_count"], got[1]["is_escalated"], got[1]["n_refused"], got[1]["first_topic"]) == (4, True, 1, "quota")
     assert got[1]["summary"] == "What is my Search Limit? tell me a JOKE  x" and (got[2]["is_escalated"], got[2]["first_topic"]) == (False, "board")
+
+
+def test_parts_are_found_by_their_rarest_run(spark):
+    rng = random.Random(2)
+    words = lambda n, most: sorted({"".join(rng.choices("abc ", k=rng.randrange(1, most))) for _ in range(n)})
+    texts, parts = words(300, 12), words(80, 6) + ["", "zz", "é"]
+    got = crawling.holding(spark.createDataFrame([(t,) for t in texts], "t string"), "t", spark.createDataFrame([(p,) for p in parts], "p string"), "p")
+    assert sorted(tuple(r) for r in got.collect()) == sorted((t, p) for t in texts for p in parts if p and p in t)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
