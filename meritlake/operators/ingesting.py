@@ -9,6 +9,7 @@ from meritlake.functions import web
 from meritlake.functions.labels import credentials_in, disciplines_in, filled, metros_in, strings
 from meritlake.functions.parsing import amount, day, residency
 from meritlake.operators.writing import upsert
+from meritlake.sources.tables import written
 
 #: The labels of disciplines that an extraction may use.
 KNOWN = ["pharmacy", "medicine", "nursing", "therapeutics_rehab", "diagnostic_imaging", "public_health_emergency"]
@@ -38,6 +39,23 @@ def extracted(pages: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def sorted_out(raw: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, quarantined) of raw records (..., title, award, deadline, as texts): what parses, with award and deadline as values, and the rest as it came, with reasons.
+
+    A record without a title, with an award that says a sum of no number, or with a deadline that is no date does not parse;
+    one without an award or a deadline does. Either table is read from one written pass, and each record is in one of them.
+    """
+    said = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    sum_, due = amount(F.col("award")), day(F.col("deadline"), as_of)
+    reasons = F.array_compact(F.array(
+        F.when(said("title") == "", "no title"), F.when((said("award") != "") & sum_.isNull(), "no sum of money"), F.when((said("deadline") != "") & due.isNull(), "no date"),
+    ))
+    read = written(raw.select("*", sum_.alias("_award"), due.alias("_deadline"), reasons.alias("reasons")), "sorted")
+    fine = F.size("reasons") == 0
+    kept = read.where(fine).drop("award", "deadline", "reasons").withColumnsRenamed({"_award": "award", "_deadline": "deadline"})
+    return kept, read.where(~fine).drop("_award", "_deadline")
+
+
 def completed(extracts: DataFrame, sources: DataFrame) -> DataFrame:
     """Extracts with what their source (url, name, category, primary_discipline, target_credentials, state_restriction) adds where they say nothing, and whether they are complete.
 

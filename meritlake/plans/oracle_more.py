@@ -128,6 +128,10 @@ tickets as (select user_id, time_of, max(event_id) as ticket_id from e where eve
 met as (select a.event_id as ask_id, a.user_id, t.ticket_id, t.time_of as opened from (select * from e where event_type = 'click') a asof left join tickets t on a.user_id = t.user_id and a.time_of >= t.time_of),
 seen as (select conv_id, count(*) filter (where role in ('user', 'assistant') and coalesce(text, '') <> '') as n_seen from conversations group by 1)
 select ask_id, user_id, ticket_id, strftime(opened, '%Y-%m-%d %H:%M:%S') as opened_at, n_seen from met left join seen on conv_id = ticket_id % 100""",
+    "P07_quarantine": """with t as (select p_partkey as k, cast(floor(p_retailprice) as int) as price, date '1998-01-01' + cast(p_partkey % 365 as int) as due from part),
+r as (select k as opp_id, case when k % 7 = 0 then 'to be announced' when k % 7 <> 1 then '$' || price end as award_text, case when k % 11 = 0 then 'soon' when k % 5 = 0 then '1998-02-31' when k % 13 <> 0 then cast(due as varchar) end as due_text,
+  concat_ws('; ', case when k % 17 = 0 then 'no title' end, case when k % 7 = 0 then 'no sum of money' end, case when k % 11 = 0 or k % 5 = 0 then 'no date' end) as reasons from t)
+select opp_id, case when reasons = '' then replace(award_text, '$', '') else award_text end as award, due_text as deadline, reasons from r""",
     "C15_queue_loop": f"""with recursive {SEEDS}, n as (select count(*) as n from pages),
 own as (select page_id as k, {URL} as url, 'https://h' || (page_id % 7) || '.example.edu/grants/' || page_id as hub from pages),
 alive as (select url from own union select hub from own where k % 3 <> 0),

@@ -258,6 +258,18 @@ def page_trees(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("page_id", "f.title", F.size("f.links").cast("long").alias("n_links"), F.md5(_joined("f.links", " ")).alias("links_md5"), F.md5("f.text").alias("text_md5"))
 
 
+def quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw records of all parts, kept with their values or put aside with their texts and why."""
+    k, due = F.col("opp_id"), F.col("deadline").cast("string")
+    raw = d.opportunities(spark, sf).select(
+        "opp_id", F.when(k % 17 == 0, "  ").otherwise(F.col("title")).alias("title"), F.when(k % 7 == 0, "to be announced").when(k % 7 != 1, F.concat(F.lit("$"), F.col("award"))).alias("award"),
+        F.when(k % 11 == 0, "soon").when(k % 5 == 0, "1998-02-31").when(k % 13 != 0, due).alias("deadline"),
+    )
+    kept, aside = ingesting.sorted_out(raw, AS_OF)
+    text = lambda df, why: df.select("opp_id", F.col("award").cast("string").alias("award"), F.col("deadline").cast("string").alias("deadline"), why.alias("reasons"))
+    return text(kept, F.lit("")).unionByName(text(aside, _joined("reasons", "; ")))
+
+
 def portal_pages(spark: SparkSession, sf: str) -> DataFrame:
     """The pages' facts by the rules of the portal that an address made of each calls for."""
     k = F.col("page_id")
@@ -431,7 +443,7 @@ QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S03_lookups": lookups, "S04_calendar_tokens": calendar_tokens, "S05_registry": registry, "S07_seed_files": seed_files, "S08_seed_csv": seed_csv, "K07_dismissals": dismissals, "K01_tracking_writes": tracking_writes,
     "K06_patches": tracking_patches, "K04_unseen_inserts": unseen_inserts, "J11_billed_events": billed_events, "B03_billed_profiles": billed_profiles, "K16_receipts": receipts, "K16_reengagement_mails": reengagement_mails,
     "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "G10_crawl_stats": crawl_stats,
-    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "B04_ticket_histories": ticket_histories, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
+    "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "P07_quarantine": quarantine, "B04_ticket_histories": ticket_histories, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
     "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
 }

@@ -36,3 +36,11 @@ def test_tokens_are_stable(spark):
     rows = spark.createDataFrame([(1, None), (2, "t")], "user_id long, feed_token string")
     a, b = (sorted(tuple(r) for r in ingesting.with_tokens(rows, "s").collect()) for _ in range(2))
     assert a == b and a[1] == (2, "t") and len(a[0][1]) == 64
+
+
+def test_records_are_kept_or_put_aside(spark):
+    raw = spark.createDataFrame([(1, "A", "$5,000", "March 1, 1999", "x"), (2, " ", "none", "1998-02-31", "x"), (3, "C", None, "", "x"), (3, "C", None, "", "x"), (4, None, None, None, None)], "id int, title string, award string, deadline string, reasonsless string")
+    kept, aside = ingesting.sorted_out(raw, "1998-06-01")
+    assert sorted((r["id"], r["award"], str(r["deadline"])) for r in kept.collect()) == [(1, 5000, "1999-03-01"), (3, None, "None"), (3, None, "None")]
+    assert sorted((r["id"], r["award"], r["reasons"]) for r in aside.collect()) == [(2, "none", ["no title", "no sum of money", "no date"]), (4, None, ["no title"])]
+    assert [df.count() for df in ingesting.sorted_out(raw.where("false"), "1998-06-01")] == [0, 0]
