@@ -17,6 +17,9 @@ from meritlake.sources.tables import numbered, written
 #: Scores: for each of four conditions, and for a place where few compete.
 POINTS, LOCAL_POINTS, MOST = 25, 10, 100
 RELATIONS = ("gate", "place", "group")
+#: The labels of ready profiles and opportunities that each relation goes by.
+ASKED_BY = {"gate": ["u_disciplines", "u_credentials", "u_level"], "place": ["u_state", "u_metro"], "group": ["u_affiliations", "u_tags"]}
+OFFERED_TO = {"gate": ["o_disciplines", "o_credentials", "o_levels"], "place": ["o_states", "o_metros"], "group": ["o_required", "o_tags"]}
 #: Numbers in a word of a bit mask; the number that stands for all.
 WORD, ALL = 64, -1
 
@@ -65,12 +68,6 @@ def opportunity_tokens() -> dict[str, tuple[Column, Column]]:
     }
 
 
-def _key(tokens: Column) -> Column:
-    """128 bits that stand for a list of tokens."""
-    said = F.transform(F.sort_array(tokens), lambda t: F.concat(F.length(t["token"]).cast("string"), F.lit(":"), t["token"], t["slot"].cast("string")))
-    return F.md5(F.array_join(said, ",").cast("binary"))
-
-
 @dataclass
 class Coded:
     """users: (user_id, u_gpa, u_sai, u_gate, u_place, u_group, *keep); offered: (opp_id, award, min_gpa, max_sai, low, gate, place, group);
@@ -89,21 +86,21 @@ class Coded:
 def coded(profiles: DataFrame, opportunities: DataFrame, *keep: str) -> Coded:
     """Ready profiles and opportunities by signature. A null label matches nothing, but a null that is required matches one that is held."""
     asks, offers = profile_tokens(), opportunity_tokens()
-    u = profiles.select("user_id", "u_gpa", "u_sai", *keep, *[asks[r].alias(f"{r}_tokens") for r in RELATIONS])
-    u = written(u.select("*", *[_key(F.col(f"{r}_tokens")).alias(f"{r}_key") for r in RELATIONS]), "profiles")
-    o = opportunities.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *[x for r in RELATIONS for x in (offers[r][0].alias(f"{r}_tokens"), offers[r][1].alias(f"{r}_need"))])
-    o = written(o.select("*", *[_key(F.concat(f"{r}_tokens", F.array(F.struct(F.col(f"{r}_need").cast("string").alias("token"), F.lit(-1).alias("slot"))))).alias(f"{r}_key") for r in RELATIONS]), "opportunities")
+    key = lambda labels: F.md5(F.to_json(F.struct(*labels)).cast("binary"))
+    u = written(profiles.select("user_id", "u_gpa", "u_sai", *keep, *sum(ASKED_BY.values(), []), *[key(ASKED_BY[r]).alias(f"{r}_key") for r in RELATIONS]), "profiles")
+    o = written(opportunities.select("opp_id", "award", "min_gpa", "max_sai", (F.col("o_competition") == "low").alias("low"), *sum(OFFERED_TO.values(), []), *[key(OFFERED_TO[r]).alias(f"{r}_key") for r in RELATIONS]), "opportunities")
 
-    def each(df: DataFrame, *more: str) -> DataFrame:
-        all_of = F.explode(F.array(*[F.struct(F.lit(r).alias("relation"), F.col(f"{r}_key").alias("key"), F.col(f"{r}_tokens").alias("tokens"), *[F.col(f"{r}_{m}").alias(m) for m in more]) for r in RELATIONS]))
-        return df.select(all_of.alias("s")).select("s.*").dropDuplicates(["relation", "key"])
+    def each(df: DataFrame, labels: dict[str, list[str]], made) -> DataFrame:
+        """Tokens of each relation's distinct labels."""
+        parts = [df.select(F.col(f"{r}_key").alias("key"), *labels[r]).dropDuplicates(["key"]).select(F.lit(r).alias("relation"), "key", *made(r)) for r in RELATIONS]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    kinds = numbered(each(o, "need"), "number", "relation")
+    kinds = numbered(each(o, OFFERED_TO, lambda r: [offers[r][0].alias("tokens"), offers[r][1].alias("need")]), "number", "relation")
     there = kinds.select("relation", "number", "need", F.explode("tokens").alias("t")).select("relation", "number", "need", "t.token", "t.slot")
-    asked = each(u).select("relation", "key", F.explode("tokens").alias("t")).select("relation", "key", "t.token").distinct()
+    asked = each(u, ASKED_BY, lambda r: [asks[r].alias("tokens")]).select("relation", "key", F.explode("tokens").alias("t")).select("relation", "key", "t.token").distinct()
     met = there.join(asked, ["relation", "token"]).groupBy("relation", "key", "number", "need").agg(F.size(F.collect_set("slot")).alias("n")).where("n >= need")
     alike = written(met.groupBy("relation", "key").agg(F.sort_array(F.collect_list("number")).alias("numbers")).withColumn("kind", F.xxhash64("numbers")), "fits")
-    users, offered = u.drop(*[f"{r}_tokens" for r in RELATIONS]), o.drop(*[f"{r}_{x}" for r in RELATIONS for x in ("tokens", "need")])
+    users, offered = u.drop(*sum(ASKED_BY.values(), [])), o.drop(*sum(OFFERED_TO.values(), []))
     for r in RELATIONS:
         users = users.join(alike.where(F.col("relation") == r).select(F.col("key").alias(f"{r}_key"), F.col("kind").alias(f"u_{r}")), f"{r}_key", "left").drop(f"{r}_key")
         offered = offered.join(kinds.where(F.col("relation") == r).select(F.col("key").alias(f"{r}_key"), F.col("number").alias(r)), f"{r}_key").drop(f"{r}_key")
