@@ -378,3 +378,16 @@ def test_pipeline(spark):
     assert {r[0] for r in packed} == left
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def test_pipeline_stages_do_what_their_operators_say(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    every = {r[0] for r in docs.select("doc_id").collect()}
+    kept = lambda stage: {r[0] for r in stage(spark, docs, SF).select("doc_id").collect()}
+    classes = simhash.near_duplicates(docs).collect()
+    assert kept(corpus_pipeline.drop_near_copies) == {r["component_id"] for r in classes}
+    leaked = {r[0] for r in latent.leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).select("doc_id").collect()}
+    assert leaked and kept(corpus_pipeline.drop_leaks) == every - leaked
+    train = toxicity.train_rows(spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {r[0] for r in toxicity.scored(docs, train=train.join(docs.select("doc_id"), "doc_id")).where("predicted = 1").select("doc_id").collect()}
+    assert kept(corpus_pipeline.drop_toxic) == every - toxic
