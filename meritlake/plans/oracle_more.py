@@ -118,6 +118,8 @@ select conv_id, 'Support escalation from ' || case when c_custkey % 7 <> 0 then
 c_edges as (select node, i - 1 as nth, ts[i] % n as target from (select node, n, [node * 2 + 1, node * 3 + 2, node * 7 + 5, node + 1, node * 11, node * 11 + 1, node * 11 + 2, node * 11 + 3, node * 11 + 4, node * 11 + 5] as ts from c_pages, n), range(1, 11) r(i)),
 c_seeds as (select node, node as pos from c_pages where node % 3 = 0), {crawl_sql(3, 15)} {SHOWN}""",
     "C11_crawl_run": f"with {RUN} select url, title, relevance, depth, state, metros, action from run",
+    "K14_crawl_report": f"""with {RUN} select url, '{{"url":' || to_json(url) || coalesce(',"title":' || to_json(title), '') || ',"relevance":' || relevance || coalesce(',"state":' || to_json(state), '') || ',"depth":' || depth || ',"action":' || to_json(action) || '}}' as report
+from run order by relevance desc, depth, place limit 20""",
     "G10_crawl_stats": f"""with {RUN} select (select count(*) from taken where outcome = 'fetched') as pages_crawled, (select count(*) from taken where outcome = 'failed') as errors, (select count(distinct {DOMAIN.format("node")}) from taken where outcome = 'fetched') as domains,
   count(*) as candidates, count(*) filter (where action = 'ingested') as ingested, count(*) filter (where action = 'duplicate') as duplicate, count(*) filter (where action = 'incomplete') as incomplete from run""",
     "U05_page_trees": rf"""with p as (select page_id, trim(regexp_replace({_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '\s+', ' ', 'g')) as title, {_visible("html")} as text,
