@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from meritlake.functions import vocabulary as v
 from meritlake.plans.oracle import BUDGETS, ELIGIBLE, MESSAGES, OPPORTUNITIES, PROFILES, SCORED, TRACKINGS, _event_timed, _lines
 from meritlake.plans.oracle_web import DOMAIN, FIRST_EACH, LINKS, PATH, SEEDS, URL, _hits, _mapped, _metros, _residency, _unescape, _visible
@@ -38,6 +40,17 @@ scores as (select *, {_hits("x", v.CONTENT_WORDS)} + {_hits("x", v.REGION_WORDS)
 run as (select url, title, cast(rel as int) as relevance, depth, place, state, {FIRST_EACH} as metros,
   case when url in (select {URL} from pages where page_id % 6 = 0) then 'duplicate' when title <> '' then 'ingested' else 'incomplete' end as action from scores where rel >= 2 and {_hits("path", v.NEGATIVE_PATHS)} = 0)"""
 
+# the same over pages with an award and a deadline before their text, with what the last page of each address gives
+INGEST = rf"""with made as (select page_id, url, '<p>Award $' || format('{{:,}}', page_id * 25 + 500) || '</p>' || case when page_id % 9 = 4 then '' else '<p>Deadline: ' || strftime(date '1998-01-01' + cast(page_id * 7 % 365 as int), '%B %-d, %Y') || '</p>' end || html as html from pages),
+{re.sub(r"\bpages\b", "made", RUN)},
+cand as (select r.*, c.page_id as k, cast(date '1998-01-01' + cast(c.page_id * 7 % 365 as int) as date) as due, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/apply/' || c.page_id as apply_at, c.page_id % 7 <> 3 as alive from run r join c_pages c on c.node = r.url),
+ends as (select *, k % 6 = 0 as known, case when title = '' or k % 9 = 4 then 'incomplete' when not alive then 'dead' end as why, case when k % 10 = 0 then apply_at else url end as final_url from cand),
+good as (select title, final_url, coalesce(nullif(title, ''), url) as provider, cast(k * 25 + 500 as varchar) as award, due, coalesce(state, '') as states, metros from ends where not known and why is null qualify row_number() over (partition by title, final_url order by relevance, depth desc, place desc) = 1),
+whole as (select 'Old' as title, node as final_url, 'Board' as provider, '1' as award, cast(date '1998-01-01' + cast(page_id % 300 as int) as date) as due, '' as states, '' as metros, page_id % 4 = 0 as was from c_pages where page_id % 6 = 0 union all select *, false from good)"""
+STEP = "select 'step {n}' as what, url, case when {known} then url when why is null then final_url end as portal_url, case when {known} then 'duplicate' else coalesce(why, '{else_}') end as action, null as title, null as provider, null as award, null as deadline, null as states, null as metros, null as archived, null as next_cycle from ends"
+INGESTED = f"""{INGEST} {STEP.format(n=1, known="known", else_="created")} union all {STEP.format(n=2, known="(known or url in (select final_url from good))", else_="unchanged")}
+union all select 'table', null, final_url, null, title, provider, award, cast(due as varchar), states, metros, cast(was or due < date '1998-06-01' as varchar), cast(case when not was and due < date '1998-06-01' then due + interval 1 year end as date)::varchar from whole"""
+
 NEXT = f"""{SEEDS}, batch as (select url from d_seeds where status = 'queued' or (status = 'crawled' and seen < date '1998-05-25') order by priority desc, seen asc nulls first, url limit 20)"""
 
 BILLING = """
@@ -118,6 +131,7 @@ select conv_id, 'Support escalation from ' || case when c_custkey % 7 <> 0 then
 c_edges as (select node, i - 1 as nth, ts[i] % n as target from (select node, n, [node * 2 + 1, node * 3 + 2, node * 7 + 5, node + 1, node * 11, node * 11 + 1, node * 11 + 2, node * 11 + 3, node * 11 + 4, node * 11 + 5] as ts from c_pages, n), range(1, 11) r(i)),
 c_seeds as (select node, node as pos from c_pages where node % 3 = 0), {crawl_sql(3, 15)} {SHOWN}""",
     "C11_crawl_run": f"with {RUN} select url, title, relevance, depth, state, metros, action from run",
+    "C11_crawl_ingest": INGESTED,
     "K14_crawl_report": f"""with {RUN} select url, '{{"url":' || to_json(url) || coalesce(',"title":' || to_json(title), '') || ',"relevance":' || relevance || coalesce(',"state":' || to_json(state), '') || ',"depth":' || depth || ',"action":' || to_json(action) || '}}' as report
 from run order by relevance desc, depth, place limit 20""",
     "G10_crawl_stats": f"""with {RUN} select (select count(*) from taken where outcome = 'fetched') as pages_crawled, (select count(*) from taken where outcome = 'failed') as errors, (select count(distinct {DOMAIN.format("node")}) from taken where outcome = 'fetched') as domains,

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meritlake.functions import checks, display, labelled, labels, parsing, portals, vocabulary, web
-from meritlake.operators import contract, crawling, events, exports, ingesting, lifecycle, matching, support, tiering, writing
+from meritlake.operators import contract, crawl_runs, crawling, events, exports, ingesting, lifecycle, matching, support, tiering, writing
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
 from meritlake.sources import readers
-from meritlake.sources.tables import folder
+from meritlake.sources.tables import folder, written
 from meritlake.sources.versions import Versions
 from meritlake.streaming import billing
 
@@ -206,9 +206,10 @@ def page_crawl(spark: SparkSession, sf: str) -> DataFrame:
 def _run(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     pages = d.table(spark, sf, "pages")
     taken = crawling.crawled_pages(pages, _seeds(spark, sf), depth=2, cap=15)
-    found = crawling.candidates(pages, taken)
+    found = written(crawling.candidates(pages, taken), "candidates")
+    read = pages.withColumn("node", web.normal_url(F.col("url"))).join(found.select(F.col("url").alias("node")), "node", "left_semi")
     known = pages.where("page_id % 6 = 0").select(F.regexp_replace(F.trim("url"), "#.*$", "").alias("portal_url"))
-    extracts = ingesting.completed(ingesting.extracted(pages, AS_OF), pages.limit(0).select("url", *[F.lit("").alias(c) for c in ("name", "category", "primary_discipline", "state_restriction")], F.array(F.lit("")).alias("target_credentials")))
+    extracts = ingesting.completed(ingesting.extracted(read, AS_OF), pages.limit(0).select("url", *[F.lit("").alias(c) for c in ("name", "category", "primary_discipline", "state_restriction")], F.array(F.lit("")).alias("target_credentials")))
     read = extracts.select(web.normal_url(F.col("url")).alias("url"), (F.col("title") != "").alias("complete"), "state", "metros")
     return taken, crawling.crawl_outcomes(found, known, read)
 
@@ -228,6 +229,36 @@ def crawl_report(spark: SparkSession, sf: str) -> DataFrame:
     return crawling.crawl_report(crawling.best_candidates(_run(spark, sf)[1], 20))
 
 
+def crawl_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    """C11 as one run, taken twice: C12, O05, J08, an extraction, fills, links, K02 and C06; what became of each candidate in either step, and the table in the end.
+
+    The pages are the given ones with an award and, but for every ninth, a deadline before their text; every fifth names an address of its own.
+    """
+    k = F.col("page_id")
+    due = F.date_format(F.date_add(F.lit("1998-01-01").cast("date"), (k * 7 % 365).cast("int")), "MMMM d, yyyy")
+    facts = F.concat(F.lit("<p>Award $"), F.format_number(k * 25 + 500, 0), F.lit("</p>"), F.when(k % 9 == 4, "").otherwise(F.concat(F.lit("<p>Deadline: "), due, F.lit("</p>"))))
+    pages = d.table(spark, sf, "pages").select("page_id", "url", F.concat(facts, "html").alias("html"))
+    last = pages.groupBy(web.normal_url(F.col("url")).alias("url")).agg(F.max("page_id").alias("page_id"))
+    apply_at = F.concat(web.root_of(F.col("url")), F.lit("/apply/"), k)
+    codes = last.select("url", F.when(k % 7 == 3, 404).otherwise(200).alias("code")).unionByName(last.where(k % 5 == 0).select(apply_at.alias("url"), F.when((k % 7 == 3) | (k % 10 == 5), 404).otherwise(200).alias("code")))
+    own = crawl_runs.own_words(AS_OF)
+    extract = lambda asked: own(asked).withColumn("portal_url", F.when(k % 5 == 0, F.concat(F.lit("/apply/"), k)))
+    none = "cast(array() as array<string>)"
+    now = last.where("page_id % 6 = 0").selectExpr("'Old' as title", "url as portal_url", "'Board' as provider", "'x' as category", "1 as award", "date_add(date'1998-01-01', cast(page_id % 300 as int)) as deadline", *[f"{none} as {c}" for c in ("disciplines", "credentials", "states", "metros")], "page_id % 4 = 0 as is_archived", "cast(null as date) as next_cycle")
+    store = Versions(spark, folder(spark, "runs"))
+    store.commit(0, replace={"opportunities": now})
+    found = written(crawling.candidates(pages, crawling.crawled_pages(pages, _seeds(spark, sf), depth=2, cap=15)), "candidates")
+    for step in (1, 2):
+        crawl_runs.ingest(store, step, found, pages, AS_OF, codes, extract)
+    none_of = lambda *cols: [F.lit(None).cast("string").alias(c) for c in cols]
+    each = [store.read("outcomes", n).select(F.lit(f"step {n}").alias("what"), "url", "portal_url", "action", *none_of("title", "provider", "award", "deadline", "states", "metros", "archived", "next_cycle")) for n in (1, 2)]
+    table = store.read("opportunities").select(
+        F.lit("table").alias("what"), *none_of("url"), "portal_url", *none_of("action"), "title", "provider", F.col("award").cast("string").alias("award"), F.col("deadline").cast("string").alias("deadline"), _joined("states").alias("states"),
+        _joined("metros").alias("metros"), F.col("is_archived").cast("string").alias("archived"), F.col("next_cycle").cast("string").alias("next_cycle"),
+    )
+    return each[0].unionByName(each[1]).unionByName(table)
+
+
 def queue_run(spark: SparkSession, sf: str) -> DataFrame:
     """The seeds after a run over the next batch, with the hubs that all links name queued."""
     seeds, pages = d.seeds(spark, sf), d.table(spark, sf, "pages")
@@ -442,7 +473,7 @@ def hub_lists(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "S03_lookups": lookups, "S04_calendar_tokens": calendar_tokens, "S05_registry": registry, "S07_seed_files": seed_files, "S08_seed_csv": seed_csv, "K07_dismissals": dismissals, "K01_tracking_writes": tracking_writes,
     "K06_patches": tracking_patches, "K04_unseen_inserts": unseen_inserts, "J11_billed_events": billed_events, "B03_billed_profiles": billed_profiles, "K16_receipts": receipts, "K16_reengagement_mails": reengagement_mails,
-    "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "G10_crawl_stats": crawl_stats,
+    "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "C11_crawl_ingest": crawl_ingest, "G10_crawl_stats": crawl_stats,
     "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "P07_quarantine": quarantine, "B04_ticket_histories": ticket_histories, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
     "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
