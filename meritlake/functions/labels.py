@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,29 +70,51 @@ def metro_code(slug: Column) -> Column:
     return F.coalesce(F.try_element_at(lookup({m[0]: m[2] for m in METROS}), slug), F.lit(""))
 
 
+@lru_cache(maxsize=64)
+def _automaton(terms: tuple[str, ...]) -> ahocorasick.Automaton:
+    """One automaton over all terms; each leads to its length and its places in terms."""
+    places: dict[str, list[int]] = {}
+    for n, t in enumerate(terms):
+        places.setdefault(t, []).append(n)
+    out = ahocorasick.Automaton()
+    for t, at in places.items():
+        out.add_word(t, (len(t), tuple(at)))
+    out.make_automaton()
+    return out
+
+
+#: What a word goes on with.
+_EDGE = frozenset("abcdefghijklmnopqrstuvwxyz'-")
+
+
+def _held(text: str, automaton: ahocorasick.Automaton, whole: bool) -> list[int]:
+    found: set[int] = set()
+    for end, (size, places) in automaton.iter(text):
+        if not whole or text[end - size : end - size + 1] not in _EDGE and text[end + 1 : end + 2] not in _EDGE:
+            found.update(places)
+    return sorted(found)
+
+
+def _search(text: Column, terms: list[str], whole: bool) -> Column:
+    """All terms are looked for in one pass over a text by an automaton, in Arrow batches; nothing but the places found comes back."""
+    wanted = tuple(terms)
+
+    @F.arrow_udf("array<int>")
+    def search(texts: pa.Array) -> pa.Array:
+        automaton = _automaton(wanted)
+        return pa.array([_held(t, automaton, whole) for t in texts.to_pylist()], pa.list_(pa.int32()))
+
+    return search(F.lower(F.coalesce(text, F.lit(""))))
+
+
 def terms_in(text: Column, terms: list[str]) -> Column:
-    """Places in terms, rising, of those that a text holds in any case, even within other words. The text is put in lower case once."""
-    low = F.array(F.lower(F.coalesce(text, F.lit(""))))
-    return F.transform(low, lambda x: F.array_compact(F.array(*[F.when(x.contains(t), F.lit(n)) for n, t in enumerate(terms)])))[0]
+    """Places in terms (none of them empty), rising, of those that a text holds in any case, even within other words."""
+    return _search(text, terms, False)
 
 
 def words_in(text: Column, terms: list[str]) -> Column:
-    """Places in terms, rising, of those that a text holds in any case as whole words.
-
-    One pass: at each place where a word begins the longest term that stands there is found, and it stands for those it
-    begins with.
-    """
-    safe = lambda t: re.sub(r"([.*+?()|\[\]{}^$\\])", r"\\\1", t)
-    by_letter: dict[str, list[str]] = {}
-    for t in sorted(set(terms), key=len, reverse=True):
-        by_letter.setdefault(t[0], []).append(safe(t[1:]))
-    any_term = "|".join(f"{safe(k)}(?:{'|'.join(rest)})" for k, rest in by_letter.items())
-    edge = r"[a-z'\-]"
-    ends = lambda t, k: k == len(t) or not re.match(edge, t[k])
-    held = {t: F.array(*[F.lit(n) for n, x in enumerate(terms) if t.startswith(x) and ends(t, len(x))]) for t in dict.fromkeys(terms)}
-    found = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{edge})(?=({any_term})(?!{edge}))"), F.lit(1)))
-    known = F.create_map(*[x for t, places in held.items() for x in (F.lit(t), places)])
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda t: F.element_at(known, t)))))
+    """Places in terms (none of them empty), rising, of those that a text holds in any case as whole words: no letter, apostrophe or hyphen before or behind."""
+    return _search(text, terms, True)
 
 
 def _mapped(text: Column, words: dict[str, list[str]]) -> Column:

@@ -81,6 +81,9 @@ ORACLE_MORE = {
     "S14_link_codes": f"with {CODES} select url, code from c",
     "C18_verified_links": f"""with {CODES}, l as (select k, url as source, case k % 5 when 0 then url when 1 then regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) || '/gone' else url end as url from p)
 select k as page_id, case when l.url in (select url from c where code < 400) or source not in (select url from c where code < 400) then l.url else source end as final_url, l.url in (select url from c where code < 400) or source in (select url from c where code < 400) as is_valid from l""",
+    "S11_bounded_fetch": f"""with p as (select {URL} as url, max(page_id) as k, max_by(html, page_id) as html from pages group by 1),
+a as (select url, html, case when k % 11 = 5 or k % 10 = 3 then 'unreachable' when k % 10 = 1 then 'http 404' when k % 10 = 2 then 'http 503' when k % 13 = 5 then 'empty' when k % 13 = 7 then 'undecodable' end as error from p where url is not null)
+select url, case when error is null then md5(html) end as html_md5, error from a union all select url || '&more', null, 'unreachable' from a""",
     "S11_fetch_errors": f"""with {CODES}, g as (select trim(url) as url, page_id % 2 = 0 as ok from pages) select g.url, ok, case when g.url = '' then 'blank' when code = 999 then 'unreachable' when code >= 400 then 'http' when not ok then 'empty' end as error from g join c on c.url = g.url""",
     "K13_reminder_calendar": f"""with {OPPORTUNITIES}, {TRACKINGS}, items as (select t.*, title, provider, award, deadline, opp_id % 3 = 0 and opp_id % 6 <> 0 as reminded from d_tracks t join d_opps using (opp_id) where is_planned and status in ('saved', 'in_progress', 'submitted')),
 e as (select *, {_event_timed()} as event, strftime(deadline - 2, '%Y%m%d') || 'T083000Z' as rung from items)

@@ -11,7 +11,7 @@ from meritlake.functions import checks, display, labelled, labels, parsing, port
 from meritlake.operators import contract, crawl_runs, crawling, events, exports, ingesting, lifecycle, matching, support, tiering, writing
 from meritlake.plans import domain as d
 from meritlake.plans.domain import AS_OF
-from meritlake.sources import readers
+from meritlake.sources import fetching, readers
 from meritlake.sources.tables import folder, written
 from meritlake.sources.versions import Versions
 from meritlake.streaming import billing
@@ -450,6 +450,16 @@ def fetch_errors(spark: SparkSession, sf: str) -> DataFrame:
     return readers.fetch_errors(got, _codes(spark, sf)).select("url", "ok", "error")
 
 
+def bounded_fetch(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page's address and one more of each fetched by five readers; some answer with errors, some not at all, some with what is no text."""
+    k, url = F.col("page_id"), web.normal_url(F.col("url"))
+    pages = d.table(spark, sf, "pages").withColumn("url", url).where("url is not null").groupBy("url").agg(F.max("page_id").alias("page_id"), F.max_by("html", "page_id").alias("html"))
+    body = F.when(k % 13 == 5, F.lit(" ").cast("binary")).when(k % 13 == 7, F.unhex(F.lit("FFFE41"))).otherwise(F.encode("html", "UTF-8"))
+    responses = pages.where(k % 11 != 5).select("url", F.when(k % 10 == 1, 404).when(k % 10 == 2, 503).when(k % 10 != 3, 200).alias("code"), body.alias("html"))
+    wanted = pages.select("url").unionByName(pages.select(F.concat("url", F.lit("&more")).alias("url"))).unionByName(pages.select("url"))
+    return fetching.fetched(wanted, responses).select("url", F.md5("html").alias("html_md5"), "error")
+
+
 def reminder_calendar(spark: SparkSession, sf: str) -> DataFrame:
     """Timed calendars of planned trackings, every third with a reminder of its own, every sixth with one that is no time."""
     k = F.col("opp_id")
@@ -476,5 +486,5 @@ QUERIES_MORE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "T24_support_replies": support_replies, "T27_support_histories": support_histories, "C20_support_tickets": support_tickets, "C12_page_crawl": page_crawl, "C11_crawl_run": crawl_run, "C11_crawl_ingest": crawl_ingest, "G10_crawl_stats": crawl_stats,
     "K14_crawl_report": crawl_report, "C15_queue_run": queue_run, "C15_queue_loop": queue_loop, "P07_quarantine": quarantine, "B04_ticket_histories": ticket_histories, "U05_page_trees": page_trees, "B03_billing_stream": billing_stream, "U08_portal_pages": portal_pages, "C23_contract_rules": contract_rules, "T25_outlines": outlines, "F24_input_checks": input_checks, "P02_match_records": match_records,
     "P08_preview_counts": preview_counts, "C04_feed_pages": feed_pages, "G05_free_limits": free_limits, "B02_spent_searches": spent_searches, "C10_batch_counters": batch_counters, "T28_shown_values": shown_values, "D01_permissive_dates": permissive_dates,
-    "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
+    "U03_resolved_links": resolved_links, "S14_link_codes": link_codes, "C18_verified_links": verified_links, "S11_fetch_errors": fetch_errors, "S11_bounded_fetch": bounded_fetch, "K13_reminder_calendar": reminder_calendar, "C19_first_areas": first_areas, "X04_hub_lists": hub_lists,
 }
