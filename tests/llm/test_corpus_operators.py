@@ -231,6 +231,45 @@ def test_recall_of_repeated_passages(spark):
     assert compact_windows.repeated_passages(alone).where("n_repeated > 0").count() == 0
 
 
+def test_near_repeats_among_decoys(spark):
+    """60 pairs of 60-word passages with a changed word, and 60 that are equal; 40 other texts for each hold the passage's first or last 25 words."""
+    rng = random.Random(11)
+    known = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(6000)]
+    fresh = lambda n: rng.choices(known, k=n)
+    texts = []
+    for p in range(120):
+        passage = fresh(60)
+        other = passage.copy()
+        if p < 60:
+            other[rng.randrange(25, 35)] = f"changed{p}"
+        texts += [fresh(20) + passage + fresh(20), fresh(20) + other + fresh(20)]
+        texts += [fresh(20) + passage[:25] + fresh(55) if n < 20 else fresh(55) + passage[-25:] + fresh(20) for n in range(40)]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = spark.createDataFrame([(order[n], " ".join(w)) for n, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_repeated"] for r in compact_windows.repeated_passages(rows).collect()}
+    both = [got[order[42 * p]] >= 45 and got[order[42 * p + 1]] >= 45 for p in range(120)]
+    assert sum(both[:60]) >= 54 and all(both[60:])
+    assert not any(got[order[42 * p + n]] for p in range(120) for n in range(2, 42))
+
+
+def test_joint_signatures_are_of_all_functions():
+    s = np.random.default_rng(2).integers(0, 2**62, 90).astype(np.uint64)
+    s[60:90] = s[10:40]
+    ends = np.array([0, 50, 60, 90])
+    key, l, r = compact_windows.joint(s, ends, 20)
+    starts = [a for lo, hi in zip(ends[:-1], ends[1:], strict=True) for a in range(lo, hi - 19)]
+    assert sorted(a for x, y in zip(l, r, strict=True) for a in range(x, y + 1)) == sorted(starts * compact_windows.BANDS)
+    at = {(band, a): key[i] for band, (i0, i1) in enumerate(_runs(l)) for i in range(i0, i1) for a in range(l[i], r[i] + 1)}
+    assert all(at[band, a] == at[band, a - 50] for band in range(compact_windows.BANDS) for a in range(60, 71))
+    assert not len(compact_windows.joint(s[:10], np.array([0, 10]), 20)[0])
+
+
+def _runs(l):
+    begins = [0, *(np.flatnonzero(np.diff(l) < 0) + 1).tolist(), len(l)]
+    return list(zip(begins[:-1], begins[1:], strict=True))
+
+
 def test_repeated_rows_are_repeated_as_a_whole(spark):
     long = " ".join(f"w{k}" for k in range(60))
     rows = spark.createDataFrame([(1, long), (2, long), (None, long), (3, "short one"), (4, "short one")], "doc_id long, text string")
