@@ -265,6 +265,16 @@ def test_joint_signatures_are_of_all_functions():
     assert not len(compact_windows.joint(s[:10], np.array([0, 10]), 20)[0])
 
 
+def test_places_where_windows_overlap():
+    rng = random.Random(6)
+    at = lambda lo, r: lo << 16 | 3 << 8 | (r - lo + 20)
+    for _ in range(50):
+        windows = [(a, a + rng.randrange(15)) for a in (rng.randrange(200) for _ in range(rng.randrange(1, 20)))]
+        due = {p for p in range(300) if sum(a <= p <= r for a, r in windows) >= compact_windows.OVERLAPS}
+        got = compact_windows.overlapped([at(a, r) for a, r in windows], 20)
+        assert {p for lo, hi in got for p in range(lo, hi)} == {q for p in due for q in range(p, p + 20)}
+
+
 def _runs(l):
     begins = [0, *(np.flatnonzero(np.diff(l) < 0) + 1).tolist(), len(l)]
     return list(zip(begins[:-1], begins[1:], strict=True))
