@@ -22,6 +22,13 @@ def test_each_check_of_an_address_has_its_code(spark):
     assert sorted(tuple(r) for r in crawling.link_codes(asked, answers, "page_id").collect()) == [("a", 200), ("a", 404)]
 
 
+def test_a_link_is_valid_if_one_check_of_its_address_is(spark):
+    asked = spark.createDataFrame([(1, "http://h/a"), (2, "http://h/a")], "page_id long, url string")
+    answers = spark.createDataFrame([(1, "http://h/a", 200, None), (2, "http://h/a", 405, 500)], "page_id long, url string, head int, get int")
+    links = spark.createDataFrame([("http://h/a", "http://h/a")], "url string, source string")
+    assert [r["is_valid"] for r in crawling.verified(links, crawling.link_codes(asked, answers, "page_id")).collect()] == [True]
+
+
 def test_pages_are_checked_by_number(spark):
     from meritlake.plans import domain, queries_more
 
