@@ -19,11 +19,11 @@ def split_list(text: Column) -> Column:
 
 
 def amount(text: Column) -> Column:
-    """Whole dollars: the first of two numbers joined by x or per, else the first number; none or not above zero is null."""
+    """Whole dollars, of up to 32 digits: the first of two numbers joined by x or per, else the first number; none or not above zero is null."""
     t = clean(text)
     times = F.regexp_extract(t, TIMES_PATTERN, 1)
-    first = F.replace(F.regexp_extract(t, MONEY_PATTERN, 1), F.lit(","), F.lit("")).try_cast("double")
-    return F.when(times != "", times.try_cast("int")).when(first > 0, F.floor(first).try_cast("int"))
+    first = F.replace(F.regexp_extract(t, MONEY_PATTERN, 1), F.lit(","), F.lit("")).try_cast("decimal(38,6)")
+    return F.when(times != "", times.try_cast("decimal(33,0)")).when(first > 0, F.floor(first))
 
 
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]

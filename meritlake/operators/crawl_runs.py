@@ -59,7 +59,7 @@ def ingest(store: Versions, step: int, found: DataFrame, pages: DataFrame, as_of
     state = F.coalesce("said.state", "state")
     full = both.select(
         F.col("url").alias("source"), F.col("said.portal_url").alias("url"), F.col("said.title").alias("title"), F.coalesce(F.nullif("title", F.lit("")), "url").alias("provider"), F.lit("crawled").alias("category"),
-        F.col("said.award").cast("int").alias("award"), F.col("said.deadline").alias("deadline"), filled(F.col("said.disciplines")).alias("disciplines"), filled(F.col("said.credentials")).alias("credentials"),
+        F.col("said.award").try_cast("int").alias("award"), F.col("said.deadline").alias("deadline"), filled(F.col("said.disciplines")).alias("disciplines"), filled(F.col("said.credentials")).alias("credentials"),
         F.when(state.isNotNull(), F.array(state)).otherwise(strings([])).alias("states"), some(F.col("said.metros"), F.col("metros")).alias("metros"),
         F.struct((-F.col("relevance")).alias("r"), "depth", "place").alias("nth"),
     )

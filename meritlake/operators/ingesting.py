@@ -59,9 +59,10 @@ def sorted_out(raw: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
 def completed(extracts: DataFrame, sources: DataFrame) -> DataFrame:
     """Extracts with what their source (url, name, category, primary_discipline, target_credentials, state_restriction) adds where they say nothing, and whether they are complete.
 
-    Complete is what has a title, an award and a deadline.
+    Complete is what has a title, an award and a deadline. Of several sources of an address the first by nth counts, if they have one, else by name and the other columns.
     """
-    s = sources.select("url", F.col("name").alias("source_name"), "category", "primary_discipline", "target_credentials", "state_restriction").dropDuplicates(["url"])
+    given = F.struct(*(["nth"] if "nth" in sources.columns else []), F.col("name").alias("source_name"), "category", "primary_discipline", "target_credentials", "state_restriction")
+    s = sources.groupBy("url").agg(F.min(given).alias("s")).select("url", "s.source_name", "s.category", "s.primary_discipline", "s.target_credentials", "s.state_restriction")
     joined = extracts.join(s, "url", "left")
     own = F.when(F.coalesce("primary_discipline", F.lit("any")) != "any", F.array("primary_discipline")).otherwise(strings([]))
     return joined.select(
