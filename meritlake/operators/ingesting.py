@@ -74,13 +74,13 @@ def completed(extracts: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def persisted(current: DataFrame, extracts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
+def persisted(current: DataFrame, extracts: DataFrame, as_of: str, judged: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """The table (title, portal_url, award, deadline, is_archived) after an upsert of complete extracts, and (action, n) of the batch.
 
-    An opportunity past its deadline is archived as it is written.
+    An opportunity past its deadline is archived as it is written. judged: the columns whose change makes an update; all by default.
     """
     batch = extracts.where("complete").select("title", F.col("url").alias("portal_url"), "award", "deadline", (F.col("deadline") < F.lit(as_of).cast("date")).alias("is_archived"), F.col("page_id").alias("nth"))
-    table = upsert(current, batch, ["title", "portal_url"], "nth")
+    table = upsert(current, batch, ["title", "portal_url"], "nth", judged=judged)
     skipped = extracts.where(~F.col("complete")).groupBy(F.lit("incomplete").alias("action")).agg(F.count(F.lit(1)).alias("n"))
     return table, table.where("action <> 'kept'").groupBy("action").agg(F.count(F.lit(1)).alias("n")).unionByName(skipped)
 

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, strict: bool = False) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order: str, strict: bool = False, judged: list[str] | None = None) -> DataFrame:
     """The table after an upsert of incoming by keys, with action: created, updated, unchanged, or kept for rows that nothing came for.
 
     Of rows with equal keys the last by order counts. An upsert changes all columns but the keys that incoming has; a row
-    is unchanged if they are the same (strict: a row that came is always updated).
+    is unchanged if they are the same (strict: a row that came is always updated; judged: the columns that this goes by).
     """
     values = [c for c in incoming.columns if c not in keys and c != order]
     last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("new"))
     old = current.withColumn("there", F.lit(True))
     both = old.join(last, keys, "full_outer")
     same = F.lit(not strict)
-    for c in values:
+    for c in values if judged is None else judged:
         same = same & F.col(c).eqNullSafe(F.col(f"new.{c}"))
     action = F.when(F.col("new").isNull(), "kept").when(F.col("there").isNull(), "created").when(same, "unchanged").otherwise("updated")
     rest = [F.col(c) for c in current.columns if c not in keys and c not in values]

@@ -8,7 +8,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from meritlake.functions import labelled, parsing
-from meritlake.operators import crawling, ingesting
+from meritlake.operators import crawling, ingesting, writing
 from meritlake.sources import readers
 
 
@@ -54,6 +54,12 @@ def test_sums_of_many_digits_are_kept(spark):
     assert [r[0] for r in rows.select(parsing.amount(F.col("x"))).collect()] == [1142126282388588, Decimal("99999999999999999999"), 5000]
 
 
+def test_an_upsert_may_go_by_some_columns(spark):
+    now = spark.createDataFrame([("k", 1, 2)], "k string, a int, b int")
+    new = spark.createDataFrame([("k", 1, 3, 1)], "k string, a int, b int, nth int")
+    assert [(r["b"], r["action"]) for r in writing.upsert(now, new, ["k"], "nth", judged=["a"]).collect()] == [(3, "unchanged")]
+
+
 def test_only_whole_references_are_read(spark):
     page = labelled.Page('<title>A &amp;&amp &lt;b&gt; &eacute;</title><a href="/x?a=1&amp;b=2&lt">l</a>')
     assert page.first("title") == "A &&amp <b> é" and page.links() == ["/x?a=1&b=2&lt"]
