@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
+
+from meritlake.operators import matching
+from meritlake.plans import domain as d
 from meritlake.plans import queries
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.mark.parametrize("with_dismissed", [False, True])
+def test_rounds_give_what_the_whole_feed_begins_with(spark, monkeypatch, with_dismissed):
+    monkeypatch.setattr(matching, "FIRST_ROWS", 8)
+    monkeypatch.setattr(matching, "MORE_ROWS", 3)
+    sides = d.profiles(spark, SF), d.opportunities(spark, SF)
+    gone = d.trackings(spark, SF).where("is_dismissed") if with_dismissed else None
+    rows = lambda df: sorted(tuple(r) for r in df.select("user_id", "rank", "opp_id", "score").collect())
+    got = rows(matching.ranked_pairs(*sides, dismissed=gone, top=3))
+    assert got == rows(matching.ranked_pairs(*sides, dismissed=gone).where("rank <= 3")) and got
+
+
+def test_prefixes_are_in_the_order_of_feeds(spark, monkeypatch):
+    monkeypatch.setattr(matching, "FIRST_ROWS", 8)
+    monkeypatch.setattr(matching, "MORE_ROWS", 2)
+    offered = spark.range(64).select(F.col("id").alias("opp_id"), F.when(F.col("id") % 3 > 0, 5).alias("award"))
+    parts = [[r["opp_id"] for r in p.collect()] for p in matching._prefixes(offered)]
+    whole = sorted(range(64), key=lambda k: (-5 if k % 3 else 0, k))
+    assert len(parts) == 3 and all(sorted(p) == sorted(whole[: len(p)]) for p in parts) and len(parts[-1]) == 64 and len(parts[0]) < 16
+
+
 @pytest.mark.parametrize("query", [queries.whole_feed])
 def test_pairs_of_a_whole_feed_are_not_shuffled(spark, query):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
