@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meritlake.operators import matching
 from meritlake.plans import domain as d
-from meritlake.plans import queries
+from meritlake.plans import queries, queries_more
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,7 +32,7 @@ def test_prefixes_are_in_the_order_of_feeds(spark, monkeypatch):
     assert len(parts) == 3 and all(sorted(p) == sorted(whole[: len(p)]) for p in parts) and len(parts[-1]) == 64 and len(parts[0]) < 16
 
 
-@pytest.mark.parametrize("query", [queries.whole_feed, queries.whole_tiered_feed])
+@pytest.mark.parametrize("query", [queries.whole_feed, queries.whole_tiered_feed, queries_more.feed_pages])
 def test_pairs_of_a_whole_feed_are_not_shuffled(spark, query):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
