@@ -65,6 +65,20 @@ def ready_opportunities(opportunities: DataFrame) -> DataFrame:
     )
 
 
+def known_pairs(pairs: DataFrame, profiles: DataFrame, opportunities: DataFrame) -> DataFrame:
+    """Given pairs (user_id, opp_id) with all columns of ready_profiles and ready_opportunities.
+
+    What moves with a pair from its profile to its opportunity are numbers: label sets go by a hash, as few are in use, and are joined last.
+    """
+    u = ready_profiles(profiles)
+    kinds = {"gate": ["u_disciplines", "u_credentials", "u_level"], "place": ["u_state", "u_metro"], "group": ["u_affiliations", "u_tags"], "tier": ["u_tier"]}
+    keys = {f"u_{k}_key": F.xxhash64(F.to_json(F.struct(*cols))) for k, cols in kinds.items()}
+    out = pairs.select("user_id", "opp_id").join(u.select("user_id", "u_gpa", "u_sai", *[key.alias(k) for k, key in keys.items()]), "user_id").join(ready_opportunities(opportunities), "opp_id")
+    for (k, key), cols in zip(keys.items(), kinds.values(), strict=True):
+        out = out.join(few(ready_profiles(profiles).select(key.alias(k), *cols).distinct()), k).drop(k)
+    return out
+
+
 def discipline_gate() -> Column:
     """No restriction, nothing studied, or a common discipline."""
     return (F.size("o_disciplines") == 0) | (F.size("u_disciplines") == 0) | F.arrays_overlap("o_disciplines", "u_disciplines")

@@ -42,3 +42,23 @@ def test_pairs_of_a_whole_feed_are_not_shuffled(spark, query):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     shuffle = next(k for k, line in enumerate(plan) if "Exchange hash" in line)
     assert any("BroadcastHashJoin [gate" in line for line in plan[:shuffle])
+
+
+def test_label_sets_of_given_pairs_are_joined_last(spark):
+    sides = d.profiles(spark, SF), d.opportunities(spark, SF)
+    pairs = d.trackings(spark, SF).select("user_id", "opp_id")
+    got = matching.known_pairs(pairs, *sides)
+    want = pairs.join(matching.ready_profiles(sides[0]), "user_id").join(matching.ready_opportunities(sides[1]), "opp_id").select(*got.columns)
+    rows = sorted(map(repr, got.collect()))
+    assert rows == sorted(map(repr, want.collect())) and rows
+
+
+def test_arrays_of_profiles_do_not_move_with_given_pairs(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.score_tracked(spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    at = [k for k, line in enumerate(plan) if "Exchange hashpartitioning(opp_id" in line]
+    assert at and not any("u_disciplines" in plan[k + 1] or "u_tags" in plan[k + 1] for k in at)
