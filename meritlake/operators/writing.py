@@ -65,20 +65,28 @@ def dismissals(trackings: DataFrame, requests: DataFrame, opportunities: DataFra
     """(user_id, opp_id, is_dismissed, n_dismissed, n_restored, n_not_found) after requests (user_id, opp_id, seq, dismiss) in order of seq.
 
     A dismissal of an opportunity that there is makes or changes the tracking; of another it is not found. What undoes a
-    dismissal that is not there is not found either. Whether one is there depends on the request before alone.
+    dismissal that is not there is not found either. Whether one is there depends on the request before alone; only the
+    first request of a pair needs the tracking, so requests are counted first and meet trackings once.
     """
     known = requests.join(opportunities.select("opp_id", F.lit(True).alias("known")), "opp_id", "left")
-    before = trackings.select("user_id", "opp_id", F.col("is_dismissed").alias("was"))
-    turn = Window.partitionBy("user_id", "opp_id").orderBy("seq")
-    asked = known.where("dismiss and not coalesce(known, false)").select("user_id", "opp_id", F.lit(None).cast("boolean").alias("now"), F.lit("not_found").alias("outcome"), "seq")
-    # a request that is found leaves is_dismissed as it says, and one that is not leaves it false, as it was
-    steps = known.where("known or not dismiss").join(before, ["user_id", "opp_id"], "left").withColumn("was", F.coalesce(F.lag("dismiss").over(turn), "was", F.lit(False)))
-    done = steps.select("user_id", "opp_id", F.col("dismiss").alias("now"), F.when(F.col("dismiss"), "dismissed").when(F.col("was"), "restored").otherwise("not_found").alias("outcome"), "seq")
-    each = done.unionByName(asked).groupBy("user_id", "opp_id").agg(
-        F.max_by("now", F.when(F.col("outcome") != "not_found", F.col("seq"))).alias("now"), *[F.count_if(F.col("outcome") == k).alias(f"n_{k}") for k in ("dismissed", "restored", "not_found")]
-    )
-    both = before.join(each, ["user_id", "opp_id"], "full_outer")
-    return both.select("user_id", "opp_id", F.coalesce("now", "was").alias("is_dismissed"), *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in ("dismissed", "restored", "not_found")])
+    pair = ["user_id", "opp_id"]
+    # a request that counts leaves is_dismissed as it says, or false, as it was; a dismissal of what is not there leaves nothing
+    counts = F.coalesce("known", F.lit(False)) | ~F.col("dismiss")
+    before_it = F.last(F.when(counts, F.col("dismiss")), ignorenulls=True).over(Window.partitionBy(*pair).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
+    steps = known.withColumns({"counts": counts, "prior": before_it})
+    restores = F.col("counts") & ~F.col("dismiss")
+    found = F.col("counts") & (F.col("dismiss") | F.coalesce("prior", F.lit(False)))
+    each = steps.groupBy(*pair).agg(
+        F.max_by("dismiss", F.when(found, F.col("seq"))).alias("now"), F.count_if(F.col("counts") & F.col("dismiss")).alias("n_dismissed"), F.count_if(restores & F.col("prior")).alias("n_restored"),
+        F.count_if(~F.col("counts") | (restores & ~F.col("prior"))).alias("n_not_found"), F.count_if(restores & F.col("prior").isNull()).alias("n_first"),
+    )
+    both = trackings.select(*pair, F.col("is_dismissed").alias("was")).join(each, pair, "full_outer")
+    first, undone = F.coalesce("n_first", F.lit(0)), F.coalesce("was", F.lit(False))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(
+        *pair, F.coalesce("now", F.when((first > 0) & undone, F.lit(False)), "was").alias("is_dismissed"), n("n_dismissed").alias("n_dismissed"),
+        (n("n_restored") + F.when(undone, first).otherwise(0)).alias("n_restored"), (n("n_not_found") + F.when(undone, 0).otherwise(first)).alias("n_not_found"),
+    )
 
 
 def deleted(trackings: DataFrame, requests: DataFrame) -> DataFrame:
