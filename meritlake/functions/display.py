@@ -117,8 +117,14 @@ def first_messages(messages: Column, most: int = 3) -> Column:
 
 
 def truncated(text: Column, most: int = 12_000) -> Column:
-    """The first characters that an extraction may read."""
-    return F.left(text, F.lit(most))
+    """The first characters that an extraction may read.
+
+    Only the first bytes are looked at, as characters of a whole long text take long to count: if so many bytes are as many
+    characters, with three more, which the last one may take, they are what is asked for; else it lies within four times as many.
+    """
+    first = lambda n: F.substring(text.cast("binary"), 1, n).cast("string")
+    plain = F.length(first(most + 3)) == F.octet_length(first(most + 3))
+    return F.when(F.octet_length(text) <= most, text).when(plain, first(most)).otherwise(F.left(first(4 * most), F.lit(most)))
 
 
 def outline_markdown(outline: Column) -> Column:
