@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from meritlake.functions.labels import strings
 from meritlake.functions.vocabulary import BLOCKED_DOMAINS, EXTENSIONS, HUB_PATHS, LOGIN_DOMAINS, NEGATIVE_PATHS, NON_HUB_PATHS, PATH_WORDS, SOCIAL_DOMAINS
 
 
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), where value is worked out once, however often made names it."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
 def normal_url(url: Column) -> Column:
     """A web address without white space around it and without its fragment, its scheme in lower case; anything else is null."""
     bare = F.trim(F.regexp_extract(F.trim(url), "^((?i:https?):[^#]*)", 1))
@@ -32,7 +39,7 @@ def root_of(url: Column) -> Column:
 
 def resolved(href: Column, page: Column) -> Column:
     """A link on a page as a full address; links within the page and to mail, telephone or scripts are null."""
-    return _collapsed(_joined(F.trim(href), page))
+    return _with(_with(F.trim(href), lambda h: _joined(h, page)), _collapsed)
 
 
 def resolved_or_page(href: Column, page: Column) -> Column:
@@ -55,13 +62,14 @@ def _collapsed(url: Column) -> Column:
 
 def _joined(h: Column, page: Column) -> Column:
     folder = F.regexp_replace(F.regexp_replace(page, r"[?#].*$", ""), r"(://[^/]+.*/)[^/]*$", "$1")
+    within = _with(folder, lambda f: F.when(F.rlike(f, F.lit("^[A-Za-z]+://[^/]+$")), F.concat(f, F.lit("/"))).otherwise(f))
     return (
         F.when((h == "") | F.rlike(h, F.lit("^(#|mailto:|tel:|javascript:)")), F.lit(None).cast("string"))
         .when(F.rlike(h, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), h)
         .when(h.startswith("//"), F.concat(F.regexp_extract(page, "^([A-Za-z]+:)", 1), h))
         .when(h.startswith("/"), F.concat(root_of(page), h))
         .when(h.startswith("?"), F.concat(F.regexp_replace(page, r"[?#].*$", ""), h))
-        .otherwise(F.concat(F.when(F.rlike(folder, F.lit("^[A-Za-z]+://[^/]+$")), F.concat(folder, F.lit("/"))).otherwise(folder), h))
+        .otherwise(F.concat(within, h))
     )
 
 
