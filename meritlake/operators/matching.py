@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,10 +122,11 @@ def with_scores(pairs: DataFrame) -> DataFrame:
     return scored.withColumn("score", F.least(F.lit(100), sum((F.col(f"{k}_points") for k in ("geo", "sai", "affiliation", "local")), F.col("gpa_points"))))
 
 
-def _missing() -> dict[str, Column]:
-    """What is said of each kind of points that a pair lacks; all but sai are of the opportunity alone."""
+def _missing(max_sai: Column | None = None) -> dict[str, Column]:
+    """What is said of each kind of points that a pair lacks; all but sai are of the opportunity alone. max_sai: where that is no column."""
+    max_sai = F.col("max_sai") if max_sai is None else max_sai
     joined = lambda c: F.array_join(c, ", ")
-    yours = F.concat(F.lit("Requires SAI <= "), F.col("max_sai").cast("string"), F.lit(" (yours is "), F.col("u_sai").cast("string"), F.lit(")"))
+    yours = F.concat(F.lit("Requires SAI <= "), max_sai.cast("string"), F.lit(" (yours is "), F.col("u_sai").cast("string"), F.lit(")"))
     return {
         "gpa": F.concat(F.lit("Requires GPA >= "), F.col("min_gpa").cast("string")),
         "sai": F.when(F.col("u_sai").isNull(), "Requires demonstrated financial need").otherwise(yours),
@@ -281,25 +284,60 @@ def holds_word(word: str) -> Column:
     return F.lower("title").contains(low) | F.lower("provider").contains(low) | F.exists("messages", lambda m: F.lower(m).contains(low))
 
 
+def _says(word: str) -> Callable[[Column], Column]:
+    """Whether a text holds word in any case; a null one does not."""
+    return lambda text: F.coalesce(F.lower(text).contains(word.lower()), F.lit(False))
+
+
+def _word_marks(word: str) -> dict[str, Column]:
+    """Of a ready opportunity: whether it says word always, or where a pair lacks GPA, place or group; and whether it is of no area."""
+    said, texts = _says(word), _missing()
+    always = said(F.col("title")) | said(F.col("provider"))
+    for notice in _notices():
+        always = always | said(notice)
+    return {"says": always, "says_gpa": said(texts["gpa"]), "says_geo": said(texts["geo"]), "says_affiliation": said(texts["affiliation"]), "anywhere": F.size("o_metros") == 0}
+
+
 def worded_pairs(profiles: DataFrame, opportunities: DataFrame, word: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """(user_id, opp_id, award, score, in_area, *keep): all eligible pairs whose title, provider or a message holds word in any case, as holds_word has it.
 
     in_area: the profile names no area, or the opportunity does not, or it is one of its. What an opportunity alone says is
     looked through once for it, not for each pair; pairs of a profile meet without a shuffle. keep: columns of ready profiles.
     """
-    low = word.lower()
-    said = lambda text: F.coalesce(F.lower(text).contains(low), F.lit(False))
-    texts = _missing()
-    always = said(F.col("title")) | said(F.col("provider"))
-    for notice in _notices():
-        always = always | said(notice)
-    marks = {"says": always, "says_gpa": said(texts["gpa"]), "says_geo": said(texts["geo"]), "says_affiliation": said(texts["affiliation"]), "anywhere": F.size("o_metros") == 0}
+    said, marks = _says(word), _word_marks(word)
     c = coded(ready_profiles(profiles), ready_opportunities(opportunities).withColumns(marks), *keep, offer_keep=tuple(marks))
     pairs = flagged_pairs(c, c.users, LOOKS_A_TASK).withColumn("score", flagged_score())
-    lacks = (~F.col("gpa_ok") & F.col("says_gpa")) | (~F.col("there") & F.col("says_geo")) | (~F.col("belongs") & F.col("says_affiliation")) | (~F.col("sai_ok") & said(texts["sai"]))
+    lacks = (~F.col("gpa_ok") & F.col("says_gpa")) | (~F.col("there") & F.col("says_geo")) | (~F.col("belongs") & F.col("says_affiliation")) | (~F.col("sai_ok") & said(_missing()["sai"]))
     return pairs.where(F.col("says") | ((F.col("score") < 100) & lacks)).select("user_id", "opp_id", "award", "score", (F.col("anywhere") | F.col("there")).alias("in_area"), *keep)
 
 
+def worded_totals(profiles: DataFrame, opportunities: DataFrame, word: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(user_id, total, worth, best, *keep): how many of worded_pairs in its areas each profile has, their awards and best score, if there are any.
+
+    From counts by kind of profile, without pairs: place and group decide most of what a pair says, and what it says of GPA
+    and SAI goes by the profile's own. A pair that lacks anything has less than 100 points, so messages are never left out.
+    """
+    said, marks = _says(word), _word_marks(word)
+    c = coded(ready_profiles(profiles), ready_opportunities(opportunities).withColumns(marks), *keep, offer_keep=tuple(marks))
+    there = F.get(F.array(*[F.lit(t) for t, _ in signatures.CASES]), F.col("k"))
+    belongs = F.get(F.array(*[F.lit(b) for _, b in signatures.CASES]), F.col("k"))
+    always = F.col("says") | (~there & F.col("says_geo")) | (~belongs & F.col("says_affiliation"))
+    counts = signatures.case_counts(c, "low", "least", "max_sai", *marks).where(F.col("anywhere") | there).withColumns({"points": signatures.case_points(), "always": always})
+    counts = counts.where("always or says_gpa or max_sai is not null")  # others say nothing whatever they lack
+
+    def split(x: Column) -> Column:
+        met = signatures.meets_sai(x["max_sai"])
+        base = x["points"] + F.when(met, POINTS).otherwise(0)
+        holds = x["always"] | (~met & said(_missing(x["max_sai"])["sai"]))
+        reached, others = signatures.parted(x)
+        entry = lambda counted, score, n: F.struct(F.least(F.lit(100), score).alias("score"), F.when(counted, n["n"]).otherwise(0).alias("n"), F.when(counted, n["total"]).otherwise(0).alias("total"))
+        return F.array(entry(holds, base + POINTS, reached), entry(holds | x["says_gpa"], base, others))
+
+    mine = signatures.by_profile(c, counts, "points", "max_sai", "always", "says_gpa", keep=keep)
+    rows = mine.select("user_id", *keep, F.explode(F.flatten(F.transform("lists", split))).alias("x")).select("user_id", *keep, "x.*").where("n > 0")
+    return rows.groupBy("user_id").agg(F.sum("n").alias("total"), F.sum("total").alias("worth"), F.max("score").alias("best"), *[F.first(k).alias(k) for k in keep])
+
+
 def records(scored: DataFrame) -> DataFrame:
     """Scored pairs with messages as result records: missing values as their defaults, 0 as no least GPA or largest SAI, points as a map."""
     kinds = ("gpa", "geo", "sai", "affiliation", "local")

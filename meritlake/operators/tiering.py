@@ -65,10 +65,9 @@ def quota(searches: DataFrame, limit: int = SEARCHES, days: int = CYCLE_DAYS) ->
     return end.select("user_id", F.timestamp_micros("s.start").alias("cycle_start"), "s.used", "s.allowed", "s.blocked")
 
 
-def feed_totals(feed: DataFrame, visible: int = VISIBLE) -> DataFrame:
-    """(user_id, total, visible, worth, best): a filtered feed's rows before gating, those that stay unlocked, their awards and best score."""
-    each = feed.groupBy("user_id").agg(F.count(F.lit(1)).alias("total"), F.first("u_tier").alias("tier"), F.sum(F.coalesce("award", F.lit(0))).cast("long").alias("worth"), F.max("score").alias("best"))
-    return each.select("user_id", "total", F.when(F.col("tier") == "premium", F.col("total")).otherwise(F.least("total", F.lit(visible))).alias("visible"), "worth", "best")
+def feed_totals(totals: DataFrame, visible: int = VISIBLE) -> DataFrame:
+    """(user_id, total, visible, worth, best): a filtered feed's rows before gating, those that stay unlocked, their awards and best score. totals: all but visible, with u_tier."""
+    return totals.select("user_id", "total", F.when(F.col("u_tier") == "premium", F.col("total")).otherwise(F.least("total", F.lit(visible))).alias("visible"), "worth", "best")
 
 
 def tracking_limits(trackings: DataFrame, profiles: DataFrame, most: int = VISIBLE) -> DataFrame:
